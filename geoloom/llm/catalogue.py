@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from geoloom.llm import secrets, sharding
+from geoloom.llm import media, secrets, sharding, tokencount
 
-MODULES = (sharding, secrets)
+MODULES = (tokencount, sharding, media, secrets)
 
 
 def queries() -> dict:

@@ -16,14 +16,17 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LIMIT = 512
-#: Entries of a worker's cache; it is emptied when full.
-CACHE_ENTRIES = 300_000
+#: Entries of a worker's cache; when it is full, the oldest half goes.
+CACHE_ENTRIES = 600_000
+#: Characters of text that are cut before their misses are encoded together.
+GROUP_CHARS = 1 << 20
 #: Longer pre-tokens are encoded each time and never kept.
 CACHE_CHARS = 64
 # How byte-level byte-pair tokenizers of this family cut text.
@@ -53,25 +56,31 @@ class Counter:
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def count(self, texts: list[str | None]) -> list[int]:
-        cut, frequent, cache = self.cut, self.frequent, self.cache
-        if len(cache) > self.entries:
-            cache.clear()
-        parts = [self.special.split(t) if self.special and t and "<|" in t else [t or ""] for t in texts]
+        """Numbers of tokens; texts are taken in groups of about GROUP_CHARS."""
+        out, group, size = [], [], 0
+        for t in texts:
+            group.append(t or "")
+            size += len(group[-1])
+            if size >= GROUP_CHARS:
+                out += self._count(group)
+                group, size = [], 0
+        return out + self._count(group)
+
+    def _count(self, texts: list[str]) -> list[int]:
+        if len(self.cache) > self.entries:
+            for x in list(islice(self.cache, self.entries // 2)):  # the oldest
+                del self.cache[x]
         out = []
-        for pieces in parts:
-            n = len(pieces) - 1
-            for piece in pieces:
-                tokens = cut(piece)
-                found = [frequent.get(x) or cache.get(x) for x in tokens]
-                if None in found:
-                    missing = list({x for x, k in zip(tokens, found) if k is None})
-                    new = dict(zip(missing, (len(e.ids) for e in self.tokenizer.encode_batch(missing, add_special_tokens=False))))
-                    cache.update((x, k) for x, k in new.items() if len(x) <= CACHE_CHARS)
-                    n += sum(new[x] if k is None else k for x, k in zip(tokens, found))
-                else:
-                    n += sum(found)
-            out.append(n)
-        return out
+        cuts = []
+        for t in texts:
+            pieces = self.special.split(t) if self.special and self.special.search(t) else [t]
+            out.append(len(pieces) - 1)
+            cuts.append([x for p in pieces for x in self.cut(p)] if len(pieces) > 1 else self.cut(t))
+        frequent, cache = self.frequent, self.cache
+        missing = list({x for tokens in cuts for x in tokens if x not in frequent and x not in cache})
+        new = dict(zip(missing, (len(e) for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))))
+        cache.update((x, k) for x, k in new.items() if len(x) <= CACHE_CHARS)
+        return [n + sum([frequent.get(x) or cache.get(x) or new[x] for x in tokens]) for n, tokens in zip(out, cuts)]
 
 
 def frequent_lengths(definition: str) -> dict[str, int]:
