@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from geoloom.llm import media, secrets, sharding, tokencount
+from geoloom.llm import langid, media, quality, secrets, sharding, tokencount
 
-MODULES = (tokencount, sharding, media, secrets)
+MODULES = (tokencount, sharding, langid, quality, media, secrets)
 
 
 def queries() -> dict:
