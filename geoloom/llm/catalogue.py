@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontaminate, langid, media, quality, secrets, sharding, tokencount
+from geoloom.llm import decontaminate, langid, media, quality, secrets, sentencepieces, sharding, tokencount
 
-MODULES = (tokencount, sharding, langid, quality, media, decontaminate, secrets)
+MODULES = (tokencount, sentencepieces, sharding, langid, quality, media, decontaminate, secrets)
 
 
 def queries() -> dict:
