@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontaminate, langid, linededup, media, quality, secrets, sentencepieces, sharding, tokencount
+from geoloom.llm import decontaminate, jaccard, langid, linededup, media, quality, secrets, sentencepieces, sharding, tokencount
 
-MODULES = (tokencount, sentencepieces, sharding, langid, linededup, quality, media, decontaminate, secrets)
+MODULES = (tokencount, sentencepieces, sharding, langid, jaccard, linededup, quality, media, decontaminate, secrets)
 
 
 def queries() -> dict:
