@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-A line's words (parted by blanks) with a digit are variable fields, ``<*>``. The
+A line's words (parted by single spaces) with a digit are variable fields, ``<*>``. The
 fixed-depth tree leads a line by its number of words and its first DEPTH words to a
 leaf. A leaf holds the templates of its lines as they stand, and one generalised
 template of the lines whose own template is not recurring: a place keeps the
@@ -27,15 +27,22 @@ from geoloom.session import stored
 
 DEPTH, MIN_WORDS, MIN_DOCS, SIMILARITY = 3, 3, 5, 0.8
 KEY = "xxhash64(doc_id, text)"
-MASKED = "transform(split(trim(line), '[ \\\\t]+'), w -> if(w rlike '[0-9]', '<*>', w))"
+#: Rows of rare templates up to which they are broadcast to fetch their words (16 bytes each); more are joined by shuffle.
+BROADCAST_TEMPLATES = 1_000_000
+WORDS = "if(line rlike '[0-9]', transform(split(trim(line), ' '), w -> if(w rlike '[0-9]', '<*>', w)), split(trim(line), ' '))"
+NODE = f"named_struct('n', size(words), 'leaf', xxhash64(size(words), slice(words, 1, {DEPTH})), 'tmpl', xxhash64(words){{}})"
 
 
-def tree_lines(docs: DataFrame) -> DataFrame:
-    """k, doc_id, line_no, words (masked), n, leaf, tmpl of every line that the tree takes."""
-    rows = docs.select("doc_id", F.expr(KEY).alias("k"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.select("k", "doc_id", "line_no", F.expr(MASKED).alias("words")).withColumn("n", F.size("words"))
-    rows = rows.filter(F.col("n") >= MIN_WORDS)
-    return rows.withColumn("leaf", F.expr(f"xxhash64(n, slice(words, 1, {DEPTH}))")).withColumn("tmpl", F.xxhash64("words"))
+def tree_lines(docs: DataFrame, words: bool = False) -> DataFrame:
+    """k, doc_id, line_no, n, leaf, tmpl (and masked words) of every line that the tree takes.
+
+    The lines are parsed as an array of the document, before it is exploded, so
+    that no filter on the outcome makes Spark parse them twice.
+    """
+    node = NODE.format(", 'words', words" if words else "")
+    parsed = F.expr(rf"transform(transform(split(text, '\n'), line -> {WORDS}), words -> {node})")
+    rows = docs.select("doc_id", F.expr(KEY).alias("k"), F.posexplode(parsed).alias("line_no", "node"))
+    return rows.select("k", "doc_id", "line_no", "node.*").filter(F.col("n") >= MIN_WORDS)
 
 
 def recurring_templates(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -46,9 +53,10 @@ def recurring_templates(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_D
     rest = templates.filter(F.col("docs") < min_docs)
     # leaves where lines of several rare templates stand in enough documents together
     leaves = rest.groupBy("leaf").agg(F.sum("docs").alias("weight"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("weight") >= min_docs))
-    rest = rest.join(leaves.select("leaf", "weight"), "leaf")
+    rest = stored(rest.join(leaves.select("leaf", "weight"), "leaf"), "rare")
+    rest = F.broadcast(rest) if rest.count() <= BROADCAST_TEMPLATES else rest
     # one line of each such template, read again: only few lines' words are ever moved
-    words = tree_lines(docs).join(rest, ["leaf", "tmpl"]).groupBy("leaf", "tmpl", "docs", "weight").agg(F.min("words").alias("words"))
+    words = tree_lines(docs, words=True).join(rest, ["leaf", "tmpl"]).groupBy("leaf", "tmpl", "docs", "weight").agg(F.min("words").alias("words"))
     words = stored(words, "words")
     votes = words.select("leaf", "docs", "weight", F.posexplode("words").alias("place", "word"))
     votes = votes.groupBy("leaf", "place", "weight", "word").agg(F.sum("docs").alias("votes"))
@@ -98,7 +106,7 @@ with rows as (
   select doc_id, text, string_split(text, chr(10)) as lines from documents
 ), lines as (
   select doc_id, i - 1 as line_no,
-         list_transform(string_split_regex(trim(lines[i], ' '), '[ \\t]+'), lambda w: case when regexp_matches(w, '[0-9]') then '<*>' else w end) as words
+         list_transform(string_split(trim(lines[i], ' '), ' '), lambda w: case when regexp_matches(w, '[0-9]') then '<*>' else w end) as words
   from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from rows)
 ), tree as (
   select *, concat(len(words), ' ', list_aggregate(words[1:{DEPTH}], 'string_agg', ' ')) as leaf, list_aggregate(words, 'string_agg', ' ') as tmpl
