@@ -1,19 +1,14 @@
-"""All registered queries of the reference's operators, and their SQL."""
+"""All registered queries of the library's operators, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from geoloom.plans import raster_queries  # noqa: F401
+from geoloom.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
+def queries() -> dict:
+    return dict(QUERIES)
 
 
-def queries() -> dict[str, Query]:
-    return _queries
-
-
-def oracle_sql() -> dict[str, str]:
-    return _sql
+def oracle_sql() -> dict:
+    return dict(SQL)

@@ -61,3 +61,26 @@ def local_session(cpus: int | str = "*", app: str = "geoloom", **conf: str) -> S
     for k, v in (base | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, unless their path already leads to it.
+
+    Workers start in the driver's folder with its PYTHONPATH; elsewhere (a driver
+    that only extended sys.path, or a cluster without the package) they need it.
+    """
+    import os
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if any(p and Path(p).resolve() == root for p in known) or getattr(context, "_geoloom_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="geoloom-")) / "geoloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.glob("geoloom/**/*.py")):
+            z.write(p, p.relative_to(root))
+    context.addPyFile(str(archive))
+    context._geoloom_shipped = True
