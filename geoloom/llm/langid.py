@@ -56,10 +56,13 @@ def sample_by_language(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, li
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     cells = labelled.groupBy("lang", F.pmod(h, F.lit(rows)).alias("cell")).agg(F.min(h).alias("h"))
     wanted = cells.select("lang", "h")
-    picked = labelled.withColumn("h", h).join(wanted, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    picked = labelled.withColumn("h", h).join(wanted, ["lang", "h"], "left_semi")
     out: dict[str, list[str]] = {}
+    seen = set()  # rows may repeat
     for r in picked.select("lang", "h", F.substring("text", 1, 4 * ROW_BYTES).alias("text")).orderBy("lang", "h").toLocalIterator():
-        out.setdefault(r.lang, []).append(r.text)
+        if (r.lang, r.h) not in seen:
+            seen.add((r.lang, r.h))
+            out.setdefault(r.lang, []).append(r.text)
     return out
 
 
