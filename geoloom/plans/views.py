@@ -51,15 +51,6 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES = "edges as (select o_orderkey as fid, o_custkey as u, 1000000 + (o_orderkey * 4) // 5 as v, o_totalprice as len from orders)"
 
 
-def edges_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A part of it with cycles: customers below 60 only, as the recursive SQL walks all paths."""
-    o = table(spark, sf_dir, "orders").filter("o_custkey < 60")
-    return o.select(F.col("o_orderkey").alias("fid"), F.col("o_custkey").alias("u"), (1000000 + (F.col("o_orderkey") * 7919) % 500).alias("v"), F.col("o_totalprice").alias("len"))
-
-
-EDGES_SMALL = "edges as (select o_orderkey as fid, o_custkey as u, 1000000 + (o_orderkey * 7919) % 500 as v, o_totalprice as len from orders where o_custkey < 60)"
-
-
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections: 40 x 40 boxes placed by the first elements of a vector."""
     e = table(spark, sf_dir, "embeddings")
@@ -95,21 +86,23 @@ LABEL_LINES = """lines as (select 't' || (l_orderkey % 400) as stem, l_orderkey
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image files; some are missing, some stems have two."""
-    d = table(spark, sf_dir, "documents").filter("doc_id % 7 <> 0").select(F.col("doc_id").cast("string").alias("stem"), "lang")
+    """Image files, one for each document; every fifth stem has a second one."""
+    d = table(spark, sf_dir, "documents")
     ext = F.when(F.col("lang") == "en", "png").when(F.col("lang") == "de", "jpg").otherwise("tif")
-    first = d.select("stem", ext.alias("ext"))
-    second = d.filter("cast(stem as long) % 5 = 0").select("stem", F.lit("webp").alias("ext"))
-    return first.union(second).withColumn("path", F.concat(F.lit("images/"), "stem", F.lit("."), "ext"))
+    exts = F.when(F.col("doc_id") % 5 == 0, F.array(ext, F.lit("webp"))).otherwise(F.array(ext))
+    d = d.select(F.col("doc_id").cast("string").alias("stem"), F.explode(exts).alias("ext"))
+    return d.withColumn("path", F.concat(F.lit("images/"), "stem", F.lit("."), "ext"))
 
 
 def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "labels")
-    return l.select(F.col("doc_id").cast("string").alias("stem"), F.concat(F.lit("labels/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), (F.col("doc_id") % 23).alias("density"))
+    """Label files; every seventh has a stem of no image."""
+    stem = F.concat(F.when(F.col("doc_id") % 7 == 0, "lost_").otherwise(""), F.col("doc_id").cast("string"))
+    l = table(spark, sf_dir, "labels").select(stem.alias("stem"), (F.col("doc_id") % 23).alias("density"))
+    return l.select("stem", F.concat(F.lit("labels/"), "stem", F.lit(".txt")).alias("path"), "density")
 
 
 IMAGES = """imgs as (
   select stem, ext, 'images/' || stem || '.' || ext as path from (
-    select cast(doc_id as varchar) as stem, case lang when 'en' then 'png' when 'de' then 'jpg' else 'tif' end as ext from documents where doc_id % 7 <> 0
-    union all select cast(doc_id as varchar), 'webp' from documents where doc_id % 7 <> 0 and doc_id % 5 = 0)),
-lbls as (select cast(doc_id as varchar) as stem, 'labels/' || doc_id || '.txt' as path, doc_id % 23 as density from labels)"""
+    select cast(doc_id as varchar) as stem, unnest(case when doc_id % 5 = 0 then [e, 'webp'] else [e] end) as ext
+    from (select doc_id, case lang when 'en' then 'png' when 'de' then 'jpg' else 'tif' end as e from documents))),
+lbls as (select stem, 'labels/' || stem || '.txt' as path, density from (select case when doc_id % 7 = 0 then 'lost_' else '' end || doc_id as stem, doc_id % 23 as density from labels))"""
