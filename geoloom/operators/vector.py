@@ -50,8 +50,8 @@ def affine_points(points: Column, gt: Column) -> Column:
 
 def schema_consensus(files: DataFrame) -> DataFrame:
     """file, same (its ordered fields are those of the smallest file name), n_missing."""
-    first = files.agg(F.min_by("fields", "file").alias("wanted"))  # one row
-    both = files.join(F.broadcast(first))
+    first = files.agg(F.min_by("fields", "file").alias("wanted")).withColumn("__k", F.lit(0))  # one row
+    both = files.withColumn("__k", F.lit(0)).join(F.broadcast(first), "__k")
     return both.select("file", (F.col("fields") == F.col("wanted")).alias("same"), F.size(F.array_except("wanted", "fields")).alias("n_missing"))
 
 

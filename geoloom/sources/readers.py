@@ -48,7 +48,12 @@ def raster_headers(spark: SparkSession, path: str, pattern: str = "*.tif") -> Da
 
 
 def read_tiles(spark: SparkSession, path: str, size: int = 1024, pattern: str = "*.tif") -> DataFrame:
-    """Rasters in tiles of at most size x size: bytes of bands x h x w samples, with their own transform."""
+    """Rasters below a folder in tiles of at most size x size."""
+    return decode_tiles(_blobs(spark, path, pattern), size)
+
+
+def decode_tiles(blobs: DataFrame, size: int = 1024) -> DataFrame:
+    """Tiles of GeoTIFF bytes (stem, content): bytes of bands x h x w samples, with their own transform."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in TILE.split(", ")]
@@ -66,7 +71,7 @@ def read_tiles(spark: SparkSession, path: str, size: int = 1024, pattern: str =
                         gt = [r.gt[0] + x * r.gt[1] + y * r.gt[2], r.gt[1], r.gt[2], r.gt[3] + x * r.gt[4] + y * r.gt[5], r.gt[4], r.gt[5]]
                         yield pd.DataFrame([(s, ty, tx, y, x, part.shape[1], part.shape[2], bands, r.data.dtype.str.lstrip("<>=|"), gt, r.epsg, r.nodata, part.tobytes(), None)], columns=names)
 
-    return _blobs(spark, path, pattern).mapInPandas(run, TILE)
+    return blobs.select("stem", "content").mapInPandas(run, TILE)
 
 
 def tile_pixels(tiles: DataFrame) -> DataFrame:
@@ -133,7 +138,7 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
     geom = T._parse_datatype_string(f"g {GEOMETRY}")["g"].dataType
     schema = T.StructType([T.StructField("fid", T.LongType()), T.StructField("geom", geom), *attributes])
     stem = path.rsplit(".", 1)[0]
-    both = [spark.read.format("binaryFile").load(f"{stem}.{e}").select(F.col("content").alias(e)) for e in ("shp", "dbf")]
+    both = [spark.read.format("binaryFile").load(f"{stem}.{e}").select(F.lit(0).alias("__k"), F.col("content").alias(e)) for e in ("shp", "dbf")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,7 +151,7 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
-    return both[0].join(F.broadcast(both[1])).mapInArrow(run, schema)  # a row each
+    return both[0].join(both[1], "__k").mapInArrow(run, schema)  # a row each
 
 
 def shapefile_bytes(layer: DataFrame, kind: str, fields: list[tuple[str, str, int, int]], name: str) -> DataFrame:
