@@ -91,4 +91,25 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_secret_scans": op10_secret_scans}
-SQL: dict[str, str] = {}
+
+
+def _sql_spans(kind: int) -> str:
+    _, pattern, group, least = RULES[kind]
+    quoted = pattern.replace("'", "''")
+    length = f"length(regexp_extract(e.x, '{quoted}', {group}))" if group else "length(e.x)"
+    none = "cast([] as struct(s bigint, k integer, e bigint)[])"
+    at = "(a.p + instr(substr(text, a.p + 1), e.x) - 1)"
+    return f"""list_reduce(list_transform(regexp_extract_all(text, '{quoted}'), lambda x: {{'p': 0::bigint, 'x': x, 'found': {none}}}),
+      lambda a, e: {{'p': {at} + length(e.x), 'x': e.x, 'found': case when {length} >= {least} then list_append(a.found, {{'s': {at}, 'k': {kind}, 'e': {at} + length(e.x)}}) else a.found end}},
+      {{'p': 0::bigint, 'x': '', 'found': {none}}}).found"""
+
+
+_NAMES = ", ".join(f"'{r[0]}'" for r in RULES)
+SQL = {
+    "op10_secret_scans": f"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+f as (select doc_id, list_sort(list_concat({', '.join(_sql_spans(k) for k in range(len(RULES)))})) as spans from t),
+j as (select doc_id, spans as found, coalesce(array_to_string(list_transform(spans, lambda s: [{_NAMES}][s.k + 1] || ':' || s.s || ':' || s.e), ','), '') as spans from f)
+select doc_id, {', '.join(f"len(list_filter(found, lambda s: s.k = {k}))::bigint as n_{r[0]}" for k, r in enumerate(RULES))}, sha256(spans) as base_sha256, spans from j
+"""
+}
