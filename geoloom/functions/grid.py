@@ -99,3 +99,8 @@ def to_utm(lon: Column, lat: Column, zone: Column) -> Column:
         x = x + alpha * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
         y = y + alpha * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
     return F.struct((500000 + 0.9996 * a * x).alias("easting"), (F.when(lat < 0, F.lit(1e7)).otherwise(F.lit(0.0)) + 0.9996 * a * y).alias("northing"))
+
+
+def mapper_json(gt: Column, projection: Column, w: Column, h: Column) -> Column:
+    """Coordinate mapper of an image as JSON."""
+    return F.to_json(F.struct(gt.alias("geotransform"), projection.alias("projection"), F.array(h, w).alias("image_shape"), geo_extent(gt, w, h).alias("geo_extent")))

@@ -175,3 +175,10 @@ def dataset_plan(split: DataFrame) -> DataFrame:
         F.struct(F.col("lbl_path").alias("src"), F.concat(F.lit("labels/"), "split", F.lit("/"), F.element_at(F.split("lbl_path", "/"), -1)).alias("dst")),
     )
     return split.select(F.explode(to).alias("c")).select(F.lit("copy").alias("action"), "c.src", "c.dst")
+
+
+def dataset_yaml(root: str, names: list[str]) -> str:
+    """The dataset's description, in JSON, which is YAML too."""
+    import json
+
+    return json.dumps({"path": root, "train": "images/train", "val": "images/val", "nc": len(names), "names": names}, ensure_ascii=False, indent=2)

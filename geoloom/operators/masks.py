@@ -310,3 +310,11 @@ def run_model(tiles: DataFrame, load, schema: str) -> DataFrame:
             yield model(b)
 
     return tiles.mapInPandas(run, schema)
+
+
+def tile_tensor(data: np.ndarray, size: int, bgr: bool = False) -> np.ndarray:
+    """Bands x h x w samples as a 1 x bands x size x size tensor: zero-padded; 8-bit BGR images become RGB over 255."""
+    out = np.zeros((1, data.shape[0], size, size), np.float32)
+    part = data[::-1] / 255.0 if bgr else data
+    out[0, :, : data.shape[1], : data.shape[2]] = part[:, :size, :size]
+    return out

@@ -219,3 +219,35 @@ def fill_grid(cells: DataFrame, height: int, width: int, nodata: float = NODATA)
     spark = cells.sparkSession
     grid = spark.range(height * width).select(F.floor(F.col("id") / width).alias("y"), (F.col("id") % width).alias("x"))
     return grid.join(cells, ["y", "x"], "left").select("y", "x", F.coalesce("z", F.lit(nodata)).alias("z"))
+
+
+def normalise_bands(px: DataFrame, channels: int = 3, clip: bool = True, nodata: float = NODATA) -> DataFrame:
+    """Pixels of bands 1 to ``channels`` of (raster_id, band, y, x, v): invalid ones are 0.
+
+    One band is repeated for three channels, further bands are cut off, missing
+    ones are zeros; values are clipped to 0..1 if asked.
+    """
+    v = F.when(valid("v", nodata), F.col("v")).otherwise(F.lit(0.0))
+    v = F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) if clip else v
+    n = px.groupBy("raster_id").agg(F.max("band").alias("__n"))
+    at = px.withColumn("v", v).join(n, "raster_id")
+    single = (F.col("__n") == 1) & F.lit(channels == 3)
+    copies = F.when(single, F.sequence(F.lit(1), F.lit(channels))).when(F.col("band") == 1, F.concat(F.array(F.lit(1)), F.filter(F.sequence(F.lit(1), F.lit(channels)), lambda b: b > F.col("__n")))).otherwise(F.array(F.col("band").cast("int")))
+    out = at.select("raster_id", "y", "x", "__n", F.col("band").alias("__b"), "v", F.explode(copies).alias("band"), single.alias("__s"))
+    padded = F.when(F.col("__s") | (F.col("band") == F.col("__b")), F.col("v")).otherwise(F.lit(0.0))
+    return out.filter(F.col("band") <= channels).select("raster_id", "band", "y", "x", padded.alias("v"))
+
+
+def solid_images(px: DataFrame, least: float = 1.0) -> DataFrame:
+    """raster_id, std of images whose deviation over all channels is below ``least``."""
+    return px.groupBy("raster_id").agg(F.stddev_pop("v").alias("std")).filter(F.col("std") < least)
+
+
+def repaired_stats(px: DataFrame) -> DataFrame:
+    """Statistics that a raster should carry once its nodata is repaired."""
+    return stats(px.withColumn("v", fix_nodata("v")), F.col("v") != NODATA)
+
+
+def invert(v: str | Column) -> Column:
+    """Inverted 8-bit value."""
+    return F.lit(255) - _v(v)

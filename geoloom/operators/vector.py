@@ -101,3 +101,35 @@ def ept_bounds(json: Column) -> Column:
     d = F.from_json(json, "boundsConforming array<double>, bounds array<double>")
     b = F.coalesce(d["boundsConforming"], d["bounds"])
     return F.when(F.size(b) >= 6, F.struct(b[0].alias("xmin"), b[1].alias("ymin"), b[3].alias("xmax"), b[4].alias("ymax")))
+
+
+# Geometry names and the kinds of layer that they make.
+GEOMETRY_KINDS = {"point": "Point", "line": "LineString", "linestring": "LineString", "polyline": "LineString", "polygon": "Polygon", "multilinestring": "MultiLineString", "multipolygon": "MultiPolygon"}
+
+
+def geometry_kind(name: Column) -> Column:
+    """Kind of layer of a geometry name; the plan fails at run time on an unknown one."""
+    kinds = F.create_map(*[F.lit(x) for kv in GEOMETRY_KINDS.items() for x in kv])
+    found = F.element_at(kinds, F.lower(name))
+    return F.when(found.isNull(), F.raise_error(F.concat(F.lit("unknown geometry type "), name))).otherwise(found)
+
+
+def empty_layer(spark, fields: str = "grid_code int, class_name string") -> DataFrame:
+    """A layer template without features."""
+    return spark.createDataFrame([], f"fid long, geom struct<type:string,parts:array<array<struct<x:double,y:double>>>>, {fields}")
+
+
+def points_in_box(points: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
+    """Points (px, py, ..) of a closed box; on Parquet the bounds reach the scan."""
+    return points.filter(F.col("px").between(xmin, xmax) & F.col("py").between(ymin, ymax))
+
+
+def exterior_rings(geom: Column) -> Column:
+    """First ring of a polygon, or of each part of several."""
+    return F.when(geom["type"] == "Polygon", F.slice(geom["parts"], 1, 1)).otherwise(geom["parts"])
+
+
+def with_field(layer: DataFrame, name: str, value: Column) -> DataFrame:
+    """Sets a field, replacing one of that name in whatever case."""
+    same = [c for c in layer.columns if c.lower() == name.lower()]
+    return layer.withColumn(same[0] if same else name, value)

@@ -149,11 +149,10 @@ def resample_bilinear(spark, d):
     return _round(raster.resample_bilinear(views.px(spark, d), 2.5), "v")
 
 
-@query(f"""with {views.PX}, g as (select distinct raster_id, cast(y as bigint) as y, x from px where x < 32)
-select g.raster_id, g.y, g.x, coalesce(p.v, 0.0) as v from g left join px p on p.raster_id = g.raster_id and p.y = floor((g.y + 0.5) * 2) and p.x = floor((g.x + 0.5) * 2)""")
+@query(f"""with {views.PX} select g.raster_id, g.y, g.x, coalesce(p.v, 0.0) as v from px g left join px p on p.raster_id = g.raster_id and p.y = floor((g.y + 0.5) * 1.5) and p.x = floor((g.x + 0.5) * 1.5)""")
 def nn_regrid(spark, d):
     px = views.px(spark, d)
-    return raster.regrid_nearest(px, px.filter("x < 32").select("raster_id", F.col("y").cast("long").alias("y"), "x"), 2.0)
+    return raster.regrid_nearest(px, px.select("raster_id", "y", "x"), 1.5)
 
 
 @query("select cast(floor(event_id / 500.0) as bigint) as y, cast(floor(user_id / 25.0) as bigint) as x, max(value) as z, count(*) as n from events group by 1, 2")

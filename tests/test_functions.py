@@ -105,3 +105,9 @@ def test_configs(spark):
         workflow.clean_network(edges, 0.0174)
     with pytest.raises(ValueError, match="missing"):
         workflow.clean_network(edges.drop("len"))
+
+
+def test_one_band_is_repeated_and_further_ones_are_cut(spark):
+    px = spark.createDataFrame([(0, 1, 0, 0, 0.5), (1, 1, 0, 0, -9999.0), (1, 2, 0, 0, 2.0)] + [(2, b, 0, 0, b / 10) for b in range(1, 6)], "raster_id int, band int, y int, x int, v double")
+    got = sorted((r.raster_id, r.band, r.v) for r in raster.normalise_bands(px).collect())
+    assert got == [(0, 1, 0.5), (0, 2, 0.5), (0, 3, 0.5), (1, 1, 0.0), (1, 2, 1.0), (1, 3, 0.0), (2, 1, 0.1), (2, 2, 0.2), (2, 3, 0.3)]
