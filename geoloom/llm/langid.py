@@ -24,9 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.session import stored
+
 UNDETERMINED = "und"
 #: Rows of each language that are sampled for its dictionary at most.
 SAMPLE_ROWS = 512
+#: Sampled rows up to which their hashes are broadcast to fetch the texts (24 bytes each).
+BROADCAST_ROWS = 200_000
 #: Bytes that a sampled row gives to the dictionary at most, and those of a dictionary.
 ROW_BYTES, DICTIONARY_BYTES = 1024, 112 << 10
 #: Characters of a block: small enough for the dictionary, and not the block's own past, to matter.
@@ -55,7 +59,8 @@ def sample_by_language(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, li
     h = F.xxhash64("doc_id", F.lit(11))
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     cells = labelled.groupBy("lang", F.pmod(h, F.lit(rows)).alias("cell")).agg(F.min(h).alias("h"))
-    wanted = cells.select("lang", "h")
+    wanted = stored(cells.select("lang", "h"), "cells")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     picked = labelled.withColumn("h", h).join(wanted, ["lang", "h"], "left_semi")
     out: dict[str, list[str]] = {}
     seen = set()  # rows may repeat
