@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the host that article addresses are relative to.
 HOST = "https://mp.weixin.qq.com"
 
 

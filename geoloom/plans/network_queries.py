@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoloom.functions import grid
 from geoloom.operators import network, vector
 from geoloom.plans import views
 from geoloom.plans.registry import query
