@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Entries of a worker's cache of units, and of its cache of pairs of pieces; when one is full its oldest half goes.
-CACHE_ENTRIES, PAIR_ENTRIES = 400_000, 1_000_000
+#: Entries of a worker's cache of units, and of its cache of pairs of pieces; when one is full, half of it goes.
+CACHE_ENTRIES, PAIR_ENTRIES = 400_000, 500_000
 #: Longer units are never kept.
 CACHE_CHARS = 48
 #: Characters after which a long unit's lattice looks for a common boundary.
 WINDOW = 64
 #: Characters of texts that are answered together in one Arrow batch.
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 2 << 20
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 OUTSIDE = -1  # a character that no piece holds
 
@@ -76,7 +76,8 @@ class Codec:
         if any(SPACE in p[1:] and p.strip(SPACE) for p in self.id) or any("\n" in p for p in self.id):
             raise ValueError("a piece crosses the boundary of a unit")
         self.marked, self.bare, self.entries = {}, {}, entries
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by (first + 1) << 20 | second
+        self.size = [len(self.piece.get(i, "")) for i in range(len(self.bytes))]
         self.newline = np.array([self.byte_id[10]], np.int32).tobytes()
 
     def merged(self, text: str) -> list[str]:
@@ -95,7 +96,7 @@ class Codec:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether piece b may follow piece a (or stand first, after OUTSIDE)."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a + 1 << 20 | b)
         if known is None:
             if len(self.pairs) >= PAIR_ENTRIES:
                 for x in list(islice(self.pairs, PAIR_ENTRIES // 2)):
@@ -107,11 +108,37 @@ class Codec:
                 known = False
             else:
                 known = self.merged(self.piece[a] + right) == [self.piece[a], right]
-            self.pairs[a, b] = known
+            self.pairs[a + 1 << 20 | b] = known
         return known
 
+    def _in_one_window(self, unit: str) -> list[int]:
+        """The lattice of a unit that fits a window: nothing needs to be committed before its end."""
+        back: list[int | None] = [None] * (len(unit) + 1)  # None: a character that no piece holds ends here
+        pairs = self.pairs
+        for end, (piece, n) in self.pieces.iter(unit):
+            end += 1
+            if back[end] is None:
+                before = back[end - n]
+                key = piece if before is None else before + 1 << 20 | piece
+                ok = pairs.get(key)
+                if ok or ok is None and self.may_follow(OUTSIDE if before is None else before, piece):
+                    back[end] = piece
+        path, at, size = [], len(unit), self.size
+        while at > 0:
+            piece = back[at]
+            if piece is None:
+                path.append(OUTSIDE)
+                at -= 1
+            else:
+                path.append(piece)
+                at -= size[piece]
+        path.reverse()
+        return path
+
     def lattice(self, unit: str) -> list[int]:
         """Ids of one unit, by the streaming lattice; OUTSIDE stands for a character to be spelt in bytes."""
+        if len(unit) <= WINDOW:
+            return self._in_one_window(unit)
         out: list[int] = []
         base = 0  # boundary up to which ids are committed
         back: list[int | None] = [OUTSIDE]  # piece that ends at boundary base + k
@@ -132,7 +159,7 @@ class Codec:
             if back[at] is not None or at < n:
                 continue
             before = back[at - n]
-            ok = pairs.get((before, piece))
+            ok = pairs.get(before + 1 << 20 | piece)
             if ok or ok is None and self.may_follow(before, piece):
                 back[at], size[at] = piece, n
         while base + len(back) <= len(unit):
@@ -206,8 +233,8 @@ class Codec:
             return [cache[k] for k in keys]
         except KeyError:
             pass
-        if len(cache) > self.entries:
-            for x in list(islice(cache, self.entries // 2)):
+        if len(cache) > self.entries:  # short units come again most
+            for x in sorted(cache, key=len)[self.entries // 2 :]:
                 del cache[x]
         out = []
         for k in keys:
