@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         known = spark.sparkContext.getCheckpointDir()
         if known:
             return known
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="geoloom-")
         spark.sparkContext.setCheckpointDir(f"file://{found}")
         found = spark.sparkContext.getCheckpointDir()
