@@ -27,7 +27,7 @@ from geoloom.session import stored
 
 DEPTH, MIN_WORDS, MIN_DOCS, SIMILARITY = 3, 3, 5, 0.8
 KEY = "xxhash64(doc_id, text)"
-#: Rows of rare templates up to which they are broadcast to fetch their words (16 bytes each); more are joined by shuffle.
+#: Rows of templates (of up to 48 bytes) up to which they are broadcast to their lines; more are joined by shuffle.
 BROADCAST_TEMPLATES = 1_000_000
 WORDS = "if(line rlike '[0-9]', transform(split(trim(line), ' '), w -> if(w rlike '[0-9]', '<*>', w)), split(trim(line), ' '))"
 NODE = f"named_struct('n', size(words), 'leaf', xxhash64(size(words), slice(words, 1, {DEPTH})), 'tmpl', xxhash64(words){{}})"
@@ -45,6 +45,11 @@ def tree_lines(docs: DataFrame, words: bool = False) -> DataFrame:
     return rows.select("k", "doc_id", "line_no", "node.*").filter(F.col("n") >= MIN_WORDS)
 
 
+def _small(templates: DataFrame) -> DataFrame:
+    """A relation of templates, to be broadcast if it is small: their lines, of which there may be many, then stay where they are."""
+    return F.broadcast(templates) if templates.count() <= BROADCAST_TEMPLATES else templates
+
+
 def recurring_templates(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """leaf, tmpl, grp of all lines' templates that are recurring; grp: the template that stands for them."""
     pairs = lines.select("leaf", "tmpl", "k").distinct()
@@ -54,7 +59,7 @@ def recurring_templates(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_D
     # leaves where lines of several rare templates stand in enough documents together
     leaves = rest.groupBy("leaf").agg(F.sum("docs").alias("weight"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("weight") >= min_docs))
     rest = stored(rest.join(leaves.select("leaf", "weight"), "leaf"), "rare")
-    rest = F.broadcast(rest) if rest.count() <= BROADCAST_TEMPLATES else rest
+    rest = _small(rest)
     # one line of each such template, read again: only few lines' words are ever moved
     words = tree_lines(docs, words=True).join(rest, ["leaf", "tmpl"]).groupBy("leaf", "tmpl", "docs", "weight").agg(F.min("words").alias("words"))
     words = stored(words, "words")
@@ -74,9 +79,10 @@ def recurring_templates(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_D
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """k, drop (line numbers) of every document that loses lines."""
     lines = stored(tree_lines(docs).select("k", "doc_id", "line_no", "leaf", "tmpl"), "lines")
-    hits = stored(lines.join(recurring_templates(docs, lines, min_docs), ["leaf", "tmpl"]).select("grp", "doc_id", "k", "line_no"), "hits")
+    recurring = _small(stored(recurring_templates(docs, lines, min_docs), "recurring"))
+    hits = stored(lines.join(recurring, ["leaf", "tmpl"]).select("grp", "doc_id", "k", "line_no"), "hits")
     at = F.struct("doc_id", "k", "line_no")
-    first = hits.groupBy("grp").agg(F.min(at).alias("first"))
+    first = _small(stored(hits.groupBy("grp").agg(F.min(at).alias("first")), "first"))
     lost = hits.join(first, "grp").filter(at != F.col("first"))
     return lost.groupBy("k").agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
 
