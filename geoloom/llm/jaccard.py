@@ -7,10 +7,10 @@ inverted lists, which are scanned; the boundary between the two is chosen by cos
 
 Equal sets are one node, whatever their number. A list is scanned from its hub,
 the member that meets most others: the hub is verified against all other members.
-Members of a list that are in different components after that are verified pair
-by pair, unless their distances from the hub already differ by too much (Jaccard
-distance is a metric). So a list of near copies costs its length, and no pair of
-different components goes unverified: components are exact.
+Members that are in different components after that can only link if they share
+about half of what sets them apart from the hub; they are joined on the rarest of
+those differences and verified. So a list of near copies costs its length, and no
+pair of different components that could link goes unverified: components are exact.
 
 Nulls, empty texts and texts without words have empty sets: component = the own
 id. Rows that repeat an id belong to one document; a row with a null id links
@@ -21,12 +21,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, exp
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from geoloom.llm.shingles import shingle_sets
 from geoloom.llm.wordhash import mix
@@ -35,8 +36,8 @@ from geoloom.session import stored
 
 #: Words of a shingle, and least similarity in hundredths: the pipeline's, and the contract's.
 WORDS, PERCENT = 5, 80
-#: Parts beyond the least number, so that a set may skip its empty ones.
-SPARE = 2
+#: Parts beyond the least number, so that a set may skip its empty ones, where parts are few.
+SPARE, FEW_PARTS = 2, 24
 #: What a posting of a scanned list costs, in enumerated subsets: it is hashed like one, and its partners are verified.
 LIST_COST = 5
 #: Largest size of a group of heavy sets, in times its least.
@@ -49,19 +50,22 @@ class Plan:
     Sets n <= m link if they share need(n, m) shingles. Up to ``light`` shingles,
     the smaller set decides: both enumerate their subsets of just need(n, m)
     shingles. Above, sizes fall into groups; in a group, linked sets differ in at
-    most H shingles, so of the H + 1 + SPARE parts of the shingles' space at
-    least 1 + SPARE hold the same for both: the part's content is the key of an
-    inverted list. ``light`` is where the sum of both costs over all sizes up to
-    HORIZON is least.
+    most H shingles, so of H + 1 + spare parts of the shingles' space at least
+    1 + spare hold the same for both: the part's content is the key of an
+    inverted list. A set skips its poor parts (of no shingle, or of one, where
+    parts are many); ``spare`` is so large that few sets have more poor parts
+    than that, and those meet under keys of their own. ``light`` is where the
+    sum of both costs over all sizes up to HORIZON is least.
     """
 
     HORIZON = 64
 
     def __init__(self, percent: int):
         self.percent = percent
+        self._shapes: dict[tuple[int, int], tuple[int, int, int]] = {}
         costs = [sum(self._enumerated(n, b) + LIST_COST * self._listed(n, b) for n in range(1, self.HORIZON + 1)) for b in range(self.HORIZON)]
         self.light = int(np.argmin(costs))
-        self._parts: dict[int, list[tuple[int, int]]] = {}
+        self._parts: dict[int, list[tuple[int, int, int, int]]] = {}
         self._sizes: dict[int, list[int]] = {}
 
     def need(self, n: int, m: int) -> int:
@@ -76,30 +80,48 @@ class Plan:
         light = self.light if light is None else light
         return sorted({self.need(n, m) for m in self.partners(n) if min(n, m) <= light and m > 0})
 
-    def groups(self, n: int, light: int) -> list[tuple[int, int]]:
-        """(group, parts) of the inverted lists that a set of n shingles is in."""
+    def groups(self, n: int, light: int) -> list[tuple[int, int, int, int]]:
+        """(group, parts, spare, shingles of a part that is not poor) of the inverted lists of a set of n shingles."""
         out, lo, g = [], light + 1, 0
         while lo <= n:
             hi = max(lo, int(lo * SPREAD))
             top = 100 * hi // self.percent
             if n <= top:
-                out.append((g, (100 - self.percent) * (hi + top) // (100 + self.percent) + 1 + SPARE))
+                out.append((g, *self._shape(lo, (100 - self.percent) * (hi + top) // (100 + self.percent) + 1)))
             lo, g = hi + 1, g + 1
         return out
 
+    def _shape(self, n: int, least: int) -> tuple[int, int, int]:
+        """(parts, spare, shingles of a part that is not poor) for sets of n shingles or more and ``least`` parts without spare."""
+        if least + SPARE <= FEW_PARTS:
+            return least + SPARE, SPARE, 1
+        if (n, least) not in self._shapes:
+            for rich, most in ((2, 1.6), (1, 4.0)):
+                for parts in range(least + 1, int(least * most)):
+                    x = n / parts
+                    poor = parts * exp(-x) * (1 + x * (rich - 1))
+                    if parts - least >= poor + 3 * poor**0.5 + 1:
+                        self._shapes[n, least] = parts, parts - least, rich
+                        break
+                if (n, least) in self._shapes:
+                    break
+            else:
+                self._shapes[n, least] = int(least * 1.5), int(least * 1.5) - least, 1
+        return self._shapes[n, least]
+
     def _enumerated(self, n: int, light: int) -> int:
         return sum(comb(n, c) for c in self.subset_sizes(n, light))
 
     def _listed(self, n: int, light: int) -> int:
-        return sum(p for _, p in self.groups(n, light))
+        return sum(p for _, p, _, _ in self.groups(n, light))
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """Keys of one sorted set; sets that link share at least one."""
+    def keys(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """(keys of one sorted set, how many of them it shares at least with any set that it links with)."""
         n = len(s)
         if n not in self._sizes:
             self._sizes[n], self._parts[n] = self.subset_sizes(n), self.groups(n, self.light)
         x = mix(s)
-        out = []
+        out, need = [], 1 if self._sizes[n] else n + 1
         if self._sizes[n]:
             total = x.sum(dtype=np.uint64)
             for c in self._sizes[n]:
@@ -108,25 +130,29 @@ class Plan:
         if self._parts[n]:
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum(x, out=sums[1:])
-        for g, parts in self._parts[n]:
+        for g, parts, spare, rich in self._parts[n]:
             width = (1 << 64) // parts + 1
             edges = np.searchsorted(s, np.arange(1, parts, dtype=np.uint64) * np.uint64(width))
             edges = np.concatenate([[0], edges, [n]])
-            full = np.flatnonzero(edges[1:] > edges[:-1])
+            held = np.diff(edges)
+            full = np.flatnonzero(held >= rich)
             place = np.uint64(g << 32) + full.astype(np.uint64)
             out.append(mix((sums[edges[full + 1]] - sums[edges[full]]) ^ mix(place)))
-            empty = np.setdiff1d(np.arange(parts), full)
-            if len(empty) > SPARE:
-                out.append(np.array([int(mix(np.array([sum((int(p) + 1) * 1000003**j for j, p in enumerate(c)) & (1 << 63) - 1 ^ g << 40], np.uint64))[0]) for c in combinations(empty, SPARE + 1)], np.uint64))
-        return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+            need = min(need, max(1, spare + 1 - (parts - len(full))))
+            if parts - len(full) > spare:
+                if parts <= FEW_PARTS:  # which of the empty parts it shares is not known: each choice of them
+                    empty = np.flatnonzero(held == 0).tolist()
+                    marks = [1 << 62 | g << 48 | sum((p + 1) << 8 * k for k, p in enumerate(c)) for c in combinations(empty, spare + 1)]
+                else:
+                    marks = [1 << 63 | g]
+                out.append(mix(np.array(marks, np.uint64)))
+        return np.unique(np.concatenate(out)), need
 
 
 #: Nodes whose ids may be broadcast to fetch their texts (8 bytes each); more are joined by shuffle.
 BROADCAST_NODES = 1_000_000
 #: Texts that are turned into sets together.
 BATCH_CHARS = 4 << 20
-#: Rounds in which a list's next hub is verified against the members outside its component.
-HUB_ROUNDS = 3
 
 
 def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
@@ -146,45 +172,54 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def node_of(s: np.ndarray) -> int:
+    """64-bit hash of a whole set, as a signed number."""
+    return int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+
+
 def set_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, node (hash of the whole set), keys of every row of docs."""
+    """doc_id, n, node (hash of the whole set), need, keys of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Plan(percent)
         for b in batches:
             for start, texts in _groups(b.column("text").to_pylist()):
-                n, node, keys = [], [], []
+                n, node, need, keys = [], [], [], []
                 for s in shingle_sets(texts, words):
                     n.append(len(s))
-                    node.append(int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else None)
-                    keys.append(plan.keys(s) if len(s) else s)
-                arrays = [b.column("doc_id").slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(keys)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "node", "keys"])
+                    node.append(node_of(s) if len(s) else None)
+                    found = plan.keys(s) if len(s) else (s, 0)
+                    keys.append(found[0])
+                    need.append(found[1])
+                arrays = [b.column("doc_id").slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(need, pa.int32()), _lists(keys)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "node", "need", "keys"])
 
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    return slim.mapInArrow(run, "doc_id long, n long, node long, keys array<long>")
+    return slim.mapInArrow(run, "doc_id long, n long, node long, need int, keys array<long>")
 
 
 def node_sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, shingles (the set) of every row of docs."""
+    """node, shingles of the rows of docs (node, text) whose set is the node's: a repeated id brings rows of other sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            nodes = b.column("node").to_pylist()
             for start, texts in _groups(b.column("text").to_pylist()):
-                arrays = [b.column("node").slice(start, len(texts)), _lists(list(shingle_sets(texts, words)))]
+                found = [(k, s) for k, s in zip(nodes[start:], shingle_sets(texts, words)) if len(s) and node_of(s) == k]
+                arrays = [pa.array([k for k, _ in found], pa.int64()), _lists([s for _, s in found])]
                 yield pa.RecordBatch.from_arrays(arrays, ["node", "shingles"])
 
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def similarities(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, far (Jaccard distance), linked of node pairs a, b; exact."""
+    """a, b, linked of node pairs a, b; exact."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
     union = F.col("total") - F.col("common")
-    return both.select("a", "b", (1 - F.col("common") / union).alias("far"), (F.col("common") * 100 >= union * percent).alias("linked"))
+    return both.select("a", "b", (F.col("common") * 100 >= union * percent).alias("linked"))
 
 
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -195,10 +230,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """doc_id, n, component of every row of docs."""
     base = stored(set_keys(docs, words, percent), "sets")
     nodes = base.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    postings = base.filter("doc_id is not null").select("node", F.explode("keys").alias("key"))
-    first = postings.groupBy("key").agg(F.min("node").alias("first"))
-    met = stored(postings.join(first, "key").filter("node <> first").distinct(), "met")
-    members = stored(met.select("key", "node").union(met.select("key", F.col("first").alias("node"))).distinct(), "members")
+    members = _members(base)
     sets = _candidate_sets(docs, nodes, members, words)
 
     count = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
@@ -206,41 +238,14 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     score = sized.groupBy("node").agg(F.sum("size").alias("score"))
     lists = stored(sized.drop("size").join(score, "node"), "lists")  # key, node, score
     hub = lists.groupBy("key").agg(F.max(F.struct("score", "node")).alias("top")).select("key", F.col("top.node").alias("hub"))
-    starred = lists.join(hub, "key").filter("hub <> node").select("key", "hub", "node", "score")
-    near = stored(similarities(_pairs(starred, "hub", "node"), sets, percent), "near")
+    star = stored(lists.join(hub, "key").filter("hub <> node").select("hub", "node").distinct(), "star")
+    near = stored(similarities(_pairs(star, "hub", "node"), sets, percent), "near")
     links = near.filter("linked").select("a", "b")
     roots = connected_components(links)
-
-    # distances from each list's hub prune pairs of its members; the hub itself is done with
-    at = [F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")]
-    left = starred.select("key", "hub", "node", "score", *at).join(near.select("a", "b", "far"), ["a", "b"]).select("key", "node", "score", "far")
-    left = stored(left, "left")
-    for k in range(HUB_ROUNDS + 1):
-        rooted = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        rooted = stored(rooted.join(split, "key"), "rooted")
-        if k == HUB_ROUNDS:
-            mine = rooted.select("key", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("far").alias("fx"))
-            theirs = rooted.select("key", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("far").alias("fy"))
-            pairs = mine.join(theirs, "key").filter("x < y and rx <> ry")
-        else:
-            if rooted.isEmpty():
-                break
-            # the hub is sought outside the largest component of the list, which needs none
-            weight = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("w"), F.max(F.struct("score", "node")).alias("top"))
-            rank = weight.groupBy("key").agg(F.max(F.struct("w", "root")).alias("most"))
-            hubs = weight.join(rank, "key").filter("root <> most.root").groupBy("key").agg(F.max("top").alias("top"))
-            hubs = hubs.select("key", F.col("top.node").alias("x"))
-            hubs = hubs.join(rooted.select("key", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("far").alias("fx")), ["key", "x"])
-            pairs = rooted.select("key", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("far").alias("fy")).join(hubs, "key").filter("x <> y and rx <> ry")
-            done = hubs.select("key", F.col("x").alias("node"))
-        close = pairs.filter(F.abs(F.col("fx") - F.col("fy")) * 100 <= 100 - percent + 1e-6)
-        more = stored(similarities(_pairs(close, "x", "y"), sets, percent).filter("linked").select("a", "b"), "more")
-        links = links.union(more)
-        if not more.isEmpty():
-            roots = connected_components(links)
-        if k < HUB_ROUNDS:
-            left = stored(rooted.select("key", "node", "score", "far").join(done, ["key", "node"], "left_anti"), "left")
+    pairs = _residual_pairs(star, near, roots, sets, percent)
+    more = stored(similarities(pairs, sets, percent).filter("linked").select("a", "b"), "more")
+    if not more.isEmpty():
+        roots = connected_components(links.union(more))
 
     named = roots.join(nodes, "node").select("node", "root", "rep")
     named = stored(named, "named")
@@ -251,15 +256,115 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return out.select("doc_id", "n", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id")).alias("component"))
 
 
+def _in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and node: those, once each, whose key a neighbour with another node has too.
+
+    The first and the last key of a partition may go on in the next one, so their
+    rows pass whatever they are.
+    """
+    names = ["key", "node", "need"]
+    held: list[np.ndarray] | None = None  # rows of the latest key, which may go on
+    first = True
+
+    def alive(rows: list[np.ndarray], end: bool) -> pa.RecordBatch:
+        nonlocal first
+        key, node = rows[0], rows[1]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        rows = [r[new] for r in rows]
+        key = rows[0]
+        same = np.zeros(len(key) + 1, bool)
+        same[1:-1] = key[1:] == key[:-1]
+        keep = same[1:] | same[:-1]
+        if first:
+            keep |= key == key[0]
+        if end:
+            keep |= key == key[-1]
+        first = False
+        return pa.RecordBatch.from_arrays([pa.array(r[keep]) for r in rows], names)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        if cut:
+            yield alive([r[:cut] for r in rows], False)
+        held = [r[cut:] for r in rows]
+        if len(held[0]) > 1 << 20:  # a very long list goes out as it is
+            yield pa.RecordBatch.from_arrays([pa.array(r) for r in held], names)
+            held = [r[-1:] for r in held]
+            first = True
+    if held is not None:
+        yield alive(held, True)
+
+
+def _members(base: DataFrame) -> DataFrame:
+    """key, node of the lists that two nodes or more are in.
+
+    Postings are sorted by range of key and node, so a list of any length is
+    spread over tasks, and are moved once. A node that has fewer live keys than
+    it needs to share with any partner has none, and goes.
+    """
+    postings = base.filter("doc_id is not null").select(F.explode("keys").alias("key"), "node", "need")
+    live = postings.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    members = stored(live.mapInArrow(_in_runs, "key long, node long, need int").distinct(), "members")
+    for _ in range(2):
+        enough = members.groupBy("node", "need").agg(F.count(F.lit(1)).alias("n")).filter("n >= need").select("node")
+        members = members.join(enough, "node", "left_semi")
+        lists = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+        members = stored(members.join(lists, "key", "left_semi").select("key", "node", "need"), "members")
+    return members.select("key", "node")
+
+
+def _residual_pairs(star: DataFrame, near: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of members of one hub's lists that may link, though their components differ.
+
+    D(x) is the symmetric difference of x and the hub. |x + y| (symmetric) is
+    |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and linked sets differ in at most
+    H(x, y) = r (n_x + n_y) shingles. At least one of x, y is not linked with the
+    hub, so |D(y)| > r (n_y + n_hub), and more than (|D(x)| + r (n_hub - n_x)) / 2
+    differences must be shared: about half of all. So pairs are sought among
+    the rarest differences of each member only (a prefix filter, rarest first):
+    near copies of one text differ from it by shingles of their own, and do not meet.
+    """
+    at = [F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")]
+    known = star.select("hub", "node", *at).join(near.select("a", "b", "linked"), ["a", "b"]).select("hub", "node", "linked")
+    known = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = known.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
+    apart = known.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.coalesce("hub_root", "hub")).alias("own"))
+    apart = apart.filter("lo <> hi or lo <> own").select("hub")
+    known = stored(known.select("hub", "node", "linked", "root").join(apart, "hub"), "known")
+    left = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sh"))
+    both = known.join(sets, "node").join(left, "hub")
+    differ = both.select("hub", "node", "linked", "root", F.size("sh").alias("nh"), F.size("shingles").alias("nx"), F.concat(F.array_except("sh", "shingles"), F.array_except("shingles", "sh")).alias("d"))
+    p, q = 100 + percent, 100 - percent
+    shared = F.floor((F.size("d") * p + (F.col("nh") - F.col("nx")) * q) / F.lit(2.0 * p)) + 1
+    most = F.floor((F.col("nx") + F.floor(F.col("nx") * 100 / F.lit(float(percent)))) * q / F.lit(float(p)))
+    differ = differ.withColumn("short", F.size("d") - shared + 1).withColumn("long", F.when(F.col("linked"), F.lit(0)).otherwise(F.least(F.size("d"), most + 1)))
+    each = stored(differ.select("hub", "node", "linked", "root", "short", "long", F.explode("d").alias("e")), "differences")
+    rarity = each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    ranked = each.join(rarity, ["hub", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("hub", "node").orderBy("df", "e")))
+    # a difference that one component has to itself joins nothing
+    ranked = stored(ranked.filter("lo <> hi and rank <= greatest(short, long)").select("hub", "e", "node", "root", "linked", "rank", "short", "long"), "ranked")
+    one = ranked.filter("rank <= short").select("hub", "e", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("linked").alias("lx"))
+    two = ranked.filter("not linked").select("hub", "e", F.col("node").alias("y"), F.col("root").alias("ry"), (F.col("rank") <= F.col("short")).alias("sy"))
+    met = one.join(two, ["hub", "e"]).filter("rx <> ry and (lx or (sy and x < y))")
+    return _pairs(met, "x", "y")
+
+
 def _candidate_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """node, shingles of all nodes that are in a list, each from one of its rows."""
     wanted = stored(members.select("node").distinct().join(nodes, "node"), "wanted")
     side = wanted.select(F.col("rep").alias("doc_id"), "node")
     side = F.broadcast(side) if wanted.count() <= BROADCAST_NODES else side.hint("shuffle_hash")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(side, "doc_id")
-    # a repeated id brings rows with other sets, which the node tells apart
-    made = node_sets(texts, words).filter(F.size("shingles") > 0)
-    return stored(made.dropDuplicates(["node"]), "shingles")
+    made = node_sets(texts, words)
+    once = stored(made, "shingles")
+    twice = once.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return once if twice.isEmpty() else stored(once.dropDuplicates(["node"]), "shingles")  # equal rows of one id
 
 
 def keep_one_of_each_group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -279,7 +384,8 @@ QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join}
 SQL = {
     "op5_ngram_jaccard_join": r"""
 with recursive words as (
-  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w <> '') as w
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda w: w <> '') as w
   from documents
 ), sets as (
   select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]

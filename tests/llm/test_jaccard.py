@@ -101,6 +101,18 @@ def test_groups_of_near_copies_without_all_pairs_and_chains(spark):
     assert run(spark, rows, 3, 90) == brute(rows, 3, 90)
 
 
+def test_an_id_with_many_texts_does_not_mix_them(spark):
+    rng = random.Random(9)
+    vocab = [f"v{k}" for k in range(3000)]
+    rows = []
+    for g in range(12):
+        base = rng.choices(vocab, k=60)
+        near = list(base)
+        near[30] = "changed"
+        rows += [(7, " ".join(base)), (100 + g, " ".join(near)), (100 + g, " ".join(near))]
+    assert run(spark, rows, 3, 90) == brute(rows, 3, 90)
+
+
 def test_empty_and_kept(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert jaccard.link_components(df).count() == 0
