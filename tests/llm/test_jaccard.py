@@ -120,3 +120,20 @@ def test_empty_and_kept(spark):
     df = spark.createDataFrame([(i, t, "en") for i, t in rows], df.schema)
     kept = jaccard.keep_one_of_each_group(df)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, c in brute(rows, 5, 80) if i == c)
+
+
+def test_runs_pass_every_row_whose_key_has_two_nodes():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    for size in (1, 3, 7, 100):
+        rows = sorted((rng.randrange(60), rng.randrange(8)) for _ in range(90))
+        tables = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), pa.array([n for _, n in part], pa.int64()), pa.array([1] * len(part), pa.int32())], ["key", "node", "need"]) for part in (rows[i : i + size] for i in range(0, len(rows), size))]
+        got = [(k, n) for b in jaccard._in_runs(iter(tables)) for k, n in zip(b.column("key").to_pylist(), b.column("node").to_pylist())]
+        nodes = {}
+        for k, n in rows:
+            nodes.setdefault(k, set()).add(n)
+        want = {(k, n) for k, n in rows if len(nodes[k]) > 1}
+        ends = {r for r in rows if r[0] in (rows[0][0], rows[-1][0])}
+        assert want <= set(got) <= want | ends and len(got) == len(set(got))
+    assert list(jaccard._in_runs(iter([]))) == []
