@@ -29,6 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/geoloom-{uuid.uuid4().hex}-{name}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _scratch.append((hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
@@ -36,12 +44,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     recomputation, and its size is known to the optimizer. The folder is
     removed when the driver's Python ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/geoloom-{uuid.uuid4().hex}-{name}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    _scratch.append((hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @atexit.register

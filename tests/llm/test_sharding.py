@@ -63,3 +63,24 @@ def test_empty_and_written_shards(spark, tmp_path):
     back = spark.read.parquet(f"file://{tmp_path}/out")
     assert back.select("row.*").count() == 100
     assert back.groupBy("shard").agg((F.max("slot") + 1 - F.count("*")).alias("gap")).filter("gap <> 0").count() == 0
+
+
+def test_query_writes_whole_records(spark, sf_dir):
+    out = sharding.op3_sharding(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = out.inputFiles()[0].split("/shard=")[0]
+    back = spark.read.parquet(folder)
+    assert sorted(map(tuple, back.select("row.*").collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    where = {(r.doc_id, r.shard, r.slot) for r in out.collect()}
+    assert {(r.doc_id, r.shard, r.slot) for r in back.select("row.doc_id", "shard", "slot").collect()} == where
+
+
+def test_written_copies_spread_over_buckets(spark, tmp_path, monkeypatch):
+    seen, real = [], sharding.shuffle_buckets
+    monkeypatch.setattr(sharding, "shuffle_buckets", lambda df, *a: seen.append(df) or real(df, *a))
+    rows = [(7, "same")] * 2500 + [(i, str(i)) for i in range(500)]
+    sharding.write_shards(frame(spark, rows), f"file://{tmp_path}/out", 3, bucket_bytes=1000)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert Counter(map(tuple, back.select("row.doc_id", "row.text").collect())) == Counter(rows)
+    largest = seen[0].filter("row.doc_id = 7").groupBy("shard", "bucket").count().agg(F.max("count")).first()[0]
+    assert largest < 2500 / 4
