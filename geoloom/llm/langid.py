@@ -6,11 +6,16 @@ every block is encoded once with each dictionary, and the language that makes th
 whole text smallest wins. The margin is how much smaller it is than the runner-up,
 in bits a character; narrow margins are rejected.
 
+What is narrow is learned: dictionaries of either half of the sampled rows are
+tried on the other half, on windows of several lengths. A text that takes more bits a
+character, or has a smaller lead, than almost all rightly told windows of its length
+is like no learned language: it is rejected, with margin 0 and score 0.5.
+
 Normalising (ASCII and other letters in lower case, all else to single spaces)
 keeps case, punctuation and numbers from standing in for language.
 
 A null text, or one with no letter, is ``und`` with score 0, rejected. With no
-labelled row at all every text is ``und``; with one language it always wins.
+labelled row at all every text is ``und``; with one language it always wins, but may be rejected.
 Ties go to the language that sorts first. Rows are answered on their own, so
 repeated rows agree; other columns are ignored; an empty table gives no rows.
 """
@@ -36,8 +41,14 @@ ROW_BYTES, DICTIONARY_BYTES = 1024, 112 << 10
 #: Characters of a block: small enough for the dictionary, and not the block's own past, to matter.
 BLOCK_CHARS = 1000
 LEVEL = 6
-#: Narrower margins (bits a character) are rejected.
+#: Narrower margins (bits a character) are rejected at any length.
 MARGIN = 0.004
+#: Characters of the windows that limits are learned from; shorter texts have none.
+LENGTHS = (32, 48, 64, 96, 128, 192, 256, 384, 512, 768, BLOCK_CHARS)
+#: Share of right windows beyond a limit, and what bits a character may exceed their limit by.
+TAIL, SLACK = 0.01, 1.05
+#: Windows that a limit takes at least; encodings of one length that are tried at most, about.
+LEAST_WINDOWS, ENCODINGS = 20, 20_000
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -78,6 +89,38 @@ def build_dictionaries(samples: dict[str, list[str]]) -> dict[str, bytes]:
     return {lang: b" ".join(ts)[: sizes[lang]] for lang, ts in sorted(texts.items()) if sizes[lang]}
 
 
+class Dictionaries(dict):
+    """Dictionary of each language; limits: length -> (least lead in bits, {language: most bits a character})."""
+
+    limits: dict[int, tuple[float, dict[str, float]]] = {}
+
+
+def learn_limits(samples: dict[str, list[str]]) -> dict[int, tuple[float, dict[str, float]]]:
+    """Limits by length, from windows of either half of the samples under the other half's dictionaries."""
+    halves = [Classifier(build_dictionaries({lang: ts[k::2] for lang, ts in samples.items()})) for k in (0, 1)]
+    rows = max(2 * LEAST_WINDOWS, ENCODINGS // max(1, len(samples)) ** 2)
+    texts = [(lang, k, normalise(t).strip()) for lang, ts in sorted(samples.items()) for k, t in enumerate(ts[:rows])]
+    limits = {}
+    for length in LENGTHS:
+        leads, rates = [], {}
+        for lang, k, text in texts:
+            other = halves[1 - k % 2]
+            if len(text) < length or not other.encoders:
+                continue
+            start = (len(text) - length) // 2
+            sizes, n = other.sizes(text[start : start + length])
+            order = sorted(range(len(sizes)), key=lambda j: (sizes[j], j))
+            if other.languages[order[0]] == lang:
+                rates.setdefault(lang, []).append(8.0 * sizes[order[0]] / n)
+                if len(order) > 1:
+                    leads.append(8.0 * (sizes[order[1]] - sizes[order[0]]))
+        most = {lang: SLACK * sorted(v)[int((1 - TAIL) * (len(v) - 1))] for lang, v in rates.items() if len(v) >= LEAST_WINDOWS}
+        least = sorted(leads)[int(TAIL * len(leads))] if len(leads) >= LEAST_WINDOWS else 0.0
+        if most or least:
+            limits[length] = least, most
+    return limits
+
+
 class Classifier:
     """Sizes of texts under each language's dictionary."""
 
@@ -85,6 +128,7 @@ class Classifier:
         import zstandard
 
         self.languages = sorted(dictionaries)
+        self.limits = sorted(getattr(dictionaries, "limits", {}).items(), reverse=True)
         self.encoders = []
         for lang in self.languages:
             d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -97,6 +141,16 @@ class Classifier:
         blocks = [text[i : i + BLOCK_CHARS].encode() for i in range(0, len(text), BLOCK_CHARS)]
         return [sum([len(encode(b)) for b in blocks]) for encode in self.encoders], len(text)
 
+    def unlike(self, lang: str, size: int, lead: float, n: int) -> bool:
+        """Whether n characters in ``size`` bytes, ``lead`` bits ahead, are beyond the limits of the longest windows that are no longer."""
+        known = [(length, least, most) for length, (least, most) in self.limits if length <= n]
+        if not known:
+            return False
+        length, least, _ = known[0]
+        blocks = n / length if length == BLOCK_CHARS else 1.0
+        most = next((m[lang] for _, _, m in known if lang in m), float("inf"))
+        return lead < least * blocks or 8.0 * size > most * n
+
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score from 0 to 1, margin in bits a character)."""
         plain = normalise(text or "").strip()
@@ -104,10 +158,12 @@ class Classifier:
             return UNDETERMINED, 0.0, 0.0
         sizes, n = self.sizes(plain)
         order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
+        spare = 8.0 * (sizes[order[1]] - sizes[order[0]]) if len(order) > 1 else float("inf")
+        if self.unlike(self.languages[order[0]], sizes[order[0]], spare, n):
+            return self.languages[order[0]], 0.5, 0.0
         if len(order) == 1:
             return self.languages[0], 1.0, 8.0
-        margin = 8.0 * (sizes[order[1]] - sizes[order[0]]) / n
-        spare = 8.0 * (sizes[order[1]] - sizes[order[0]])
+        margin = spare / n
         return self.languages[order[0]], 1.0 - 0.5 * 2.0 ** -min(spare / 8.0, 60.0), margin
 
 
@@ -129,7 +185,10 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
 
 
 def fit(docs: DataFrame) -> dict[str, bytes]:
-    return build_dictionaries(sample_by_language(docs.select("doc_id", "text", "lang")))
+    samples = sample_by_language(docs.select("doc_id", "text", "lang"))
+    found = Dictionaries(build_dictionaries(samples))
+    found.limits = learn_limits(samples)
+    return found
 
 
 def drop_rejected(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from geoloom.llm import langid
@@ -44,3 +45,20 @@ def test_held_out_accuracy(spark, sf_dir):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     held = [r for r in rows if r.held_out]
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) / len(held) > 0.96
+
+
+def test_junk_of_several_lengths_is_rejected(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    c = langid.Classifier(langid.fit(docs))
+    pick = random.Random(5)
+    syllables = [a + b for a in "bcdfghjklmnpqrstvwz" for b in "aeiou"]
+    words = ["".join(pick.choices(syllables, k=pick.randint(1, 4))) for _ in range(2000)]
+    for n in (100, 200, 400, 1000, 3000):
+        letters = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for _ in range(40)]
+        unlearned = [" ".join(pick.choices(words, k=n))[:n] for _ in range(40)]
+        for texts in (letters, unlearned):
+            assert sum(c.predict(t)[2] < langid.MARGIN for t in texts) >= 38, n
+    held = [d for d in docs.filter(langid.held_out(docs.doc_id) & docs.text.isNotNull()).collect()]
+    right = [c.predict(d.text)[2] >= langid.MARGIN for d in held]
+    assert sum(right) / len(right) > 0.95
