@@ -1,14 +1,16 @@
 """Quality scores from a byte-level convolutional network in numpy.
 
 A filter sees WIDTH bytes. Its weights are a table (place in the window, byte), so
-a convolution is a sum of look-ups. Windows start every STRIDE bytes of
+a convolution is a sum of look-ups. Windows start at every byte (STRIDE 1) of
 overlapping chunks that cover the whole document; each filter's responses are
 max-pooled over all windows of all chunks, and a logistic layer combines the
 maxima into one probability.
 
 Learning: plain gradient descent with Adam on a bounded sample of labelled rows
-(SAMPLE_ROWS, each by one window of TRAIN_BYTES); the gradient of a maximum
-reaches only its window. The model is a few hundred KB, whatever the corpus.
+(SAMPLE_ROWS of each class). A row gives a seeded part of PART_BYTES from anywhere
+in its text, of which each epoch takes TRAIN_BYTES; one row in WHOLE_ROWS is learned
+at full length (a seeded part of WHOLE_BYTES, if it is longer than that). The gradient
+of a maximum reaches only its window. The model is a few hundred KB, whatever the corpus.
 
 A null text counts as empty; an empty text is scored by the biases alone. With
 no labelled row, or one class only, the score is the share of label 1 (0.5 with
@@ -24,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WIDTH, STRIDE, FILTERS = 8, 4, 24
+WIDTH, STRIDE, FILTERS = 8, 1, 24
 #: Bytes of a chunk, of which WIDTH - STRIDE overlap the next one's.
 CHUNK = 1 << 16
 SAMPLE_ROWS, TRAIN_BYTES, EPOCHS, BATCH, RATE = 3000, 2048, 14, 64, 0.02
+#: Bytes that a row sends to the driver; of every WHOLE_ROWS rows, one sends its whole text, or that many bytes of it.
+PART_BYTES, WHOLE_ROWS, WHOLE_BYTES = 4 * TRAIN_BYTES, 8, 1 << 18
 #: Few rows are gone over more often, until so many steps are made (at most MOST_EPOCHS times).
 LEAST_STEPS, MOST_EPOCHS = 400, 80
 THRESHOLD = 0.3
@@ -79,8 +83,8 @@ class Network:
         return 1.0 / (1.0 + np.exp(-max(-50.0, min(50.0, z))))
 
 
-def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Learns from texts and labels 0 and 1; classes weigh alike, and the bias is set back to their shares at the end."""
+def fit(texts: list[bytes], labels: list[int], whole: list[bool] | None = None, epochs: int = EPOCHS, seed: int = SEED) -> Network:
+    """Learns from texts (those of ``whole`` at full length) and labels 0 and 1; classes weigh alike, and the bias is set back to their shares at the end."""
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.15, (WIDTH, 257, FILTERS)).astype(np.float32)
     weights = rng.normal(0, 0.5, FILTERS)
@@ -100,8 +104,8 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
             g_table, g_weights, g_bias = np.zeros_like(table), np.zeros(FILTERS), 0.0
             for i in part:
                 data = texts[i]
-                if len(data) > TRAIN_BYTES:
-                    s = int(rng.integers(0, len(data) - TRAIN_BYTES))
+                if len(data) > TRAIN_BYTES and not (whole and whole[i]):
+                    s = int(rng.integers(0, len(data) - TRAIN_BYTES + 1))
                     data = data[s : s + TRAIN_BYTES]
                 top, at = pooled(data, table)
                 h = np.tanh(top)
@@ -127,23 +131,27 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
     return Network(table, weights, bias + float(np.log(share / (1 - share))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], list[int]]:
-    """At most ``rows`` labelled texts of each class, cut to a seeded part of each."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], list[int], list[bool]]:
+    """At most ``rows`` labelled texts of each class, a seeded part of each; whether a row is to be learned at full length."""
     ids = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     h = F.xxhash64("doc_id", F.lit(SEED))
     cells = ids.groupBy("quality", F.pmod(h, F.lit(rows)).alias("cell")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "quality")
     chosen = sorted((r.doc_id, r.quality) for r in cells.collect())
     if not chosen:
-        return [], []
+        return [], [], []
     from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
     schema = StructType([StructField("doc_id", LongType()), StructField("quality", IntegerType())])
     picked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(docs.sparkSession.createDataFrame(chosen, schema)), "doc_id")
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    whole = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(WHOLE_ROWS)) == 0
+    most = F.when(whole, F.lit(WHOLE_BYTES)).otherwise(F.lit(PART_BYTES))
+    start = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 2)), F.greatest(F.octet_length(data) - most, F.lit(0)) + 1).cast("int")
     texts = {}
-    for r in picked.select("doc_id", "quality", F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, 4 * TRAIN_BYTES).alias("text")).toLocalIterator():
-        texts.setdefault((r.doc_id, r.quality), bytes(r.text))
+    for r in picked.select("doc_id", "quality", whole.alias("whole"), F.substring(data, start + 1, most).alias("text")).toLocalIterator():
+        texts.setdefault((r.doc_id, r.quality), (bytes(r.text), r.whole))
     keys = sorted(texts)
-    return [texts[k] for k in keys], [k[1] for k in keys]
+    return [texts[k][0] for k in keys], [k[1] for k in keys], [texts[k][1] for k in keys]
 
 
 def score_documents(docs: DataFrame, network: Network) -> DataFrame:

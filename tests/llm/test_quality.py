@@ -55,3 +55,24 @@ def test_held_out_ranking(spark, sf_dir):
     good = [r.score for r in rows if r.held_out and truth.get(r.doc_id) == 1]
     bad = [r.score for r in rows if r.held_out and truth.get(r.doc_id) == 0]
     assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) > 0.9
+
+
+def test_no_byte_in_front_hides_a_window():
+    rng = np.random.default_rng(3)
+    table = rng.normal(size=(quality.WIDTH, 257, 4)).astype(np.float32)
+    data = rng.integers(0, 256, 700, dtype=np.uint8).tobytes()
+    top, _ = quality.pooled(data, table)
+    for n in (1, 2, 3, 5):
+        assert (quality.pooled(b"x" * n + data, table)[0] >= top - 1e-4).all()
+
+
+def test_training_sees_all_parts_of_long_texts(spark):
+    docs = spark.createDataFrame([(i, "a" * 30_000 + "b" * 30_000) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    texts, _, whole = quality.training_rows(docs, labels)
+    assert any(b"b" not in t for t in texts) and any(b"a" not in t for t in texts)
+    assert 0 < sum(whole) < len(whole) and all(len(t) == (60_000 if w else quality.PART_BYTES) for t, w in zip(texts, whole))
+    clean = [b"alpha beta gamma " * 300] * 30
+    marked = [t[:4500] + b" $$$%%%$$$ " + t[4500:] for t in clean]
+    net = quality.fit(clean + marked, [1] * 30 + [0] * 30, [True] * 60, epochs=8)
+    assert net.score(clean[0]) > 0.5 > net.score(marked[0])
