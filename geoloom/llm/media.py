@@ -353,6 +353,12 @@ def decode_jpegs(blobs: list[bytes | None]) -> list[tuple[list[np.ndarray], tupl
     return out
 
 
+def stacked(thumbs: list[np.ndarray]) -> np.ndarray:
+    """All thumbnails of a blob as one, top to bottom; narrower ones are filled up with 0."""
+    width = max(t.shape[1] for t in thumbs)
+    return np.vstack([np.pad(t, ((0, 0), (0, width - t.shape[1]))) for t in thumbs])
+
+
 def thumbnail_hashes(thumb: np.ndarray) -> tuple[str, str]:
     """Average hash and difference hash of the thumbnail's 8 x 9 cell means, 64 bits in hex each."""
     h, w = thumb.shape
@@ -402,7 +408,7 @@ def media_features(media: DataFrame) -> DataFrame:
                     rows.append((i, n, None, None, None, *stored, None, None, None, error))
                     continue
                 payload = b"".join(t.tobytes() for t in thumbs)
-                average, difference = thumbnail_hashes(thumbs[0])
+                average, difference = thumbnail_hashes(stacked(thumbs))
                 sha = hashlib.sha256(payload).hexdigest()
                 rows.append((i, n, len(payload), sha, zlib.crc32(payload[-32:]), *stored, *size, f"jpeg:{size[0]}x{size[1]}x{len(thumbs)}:a{average}:d{difference}", None))
             names = [x.split()[0] for x in FEATURES.split(", ")]

@@ -92,3 +92,18 @@ def test_nulls_repeats_and_clashing_columns(spark):
     got = media.media_features(media.encode_media(df)).collect()
     assert sorted((r.n_bytes, r.payload_bytes) for r in got) == [(0, 576), (0, 576), (576, 576), (576, 576), (600, 1152)]
     assert media.media_features(media.encode_media(df.limit(0))).count() == 0
+
+
+def test_feature_covers_all_images(spark):
+    first, rng = "a" * 196_416, np.random.default_rng(1)
+    low, high = ("".join(chr(c) for c in rng.integers(a, b, 150_000)) for a, b in ((33, 60), (90, 126)))
+    df = spark.createDataFrame([(1, first + low + high), (2, first + high + low)], "doc_id long, text string")
+    one, two = (r.feature for r in media.media_features(media.encode_media(df)).collect())
+    assert one.split(":")[:2] == two.split(":")[:2]
+    assert one.split(":")[2] != two.split(":")[2] and one.split(":")[3] != two.split(":")[3]
+
+
+def test_images_of_several_widths_stack():
+    a, b = np.full((9, 4), 7, np.uint8), np.full((3, 6), 9, np.uint8)
+    got = media.stacked([a, b])
+    assert got.shape == (12, 6) and got[:9, :4].min() == 7 and got[:9, 4:].max() == 0 and got[9:].min() == 9
