@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Every round links each node's neighbours to the smallest of them, first the
     larger ones, then the smaller ones; a chain of n nodes takes about log n
-    rounds. Each round is written to the shared folder, so that neither lineage
+    rounds, and the last one repeats the state; if none of ``most_rounds`` does, that
+    is an error. Each round is written to the shared folder, so that neither lineage
     nor a lost executor makes earlier rounds run again. A hub's neighbours are
     only ever aggregated by minimum and joined with it, never gathered.
     """
@@ -33,5 +34,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(seen) == state:
             break
         state = tuple(seen)
+    else:
+        raise RuntimeError(f"components have not converged in {most_rounds} rounds")
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -98,3 +98,10 @@ def test_independent_set_is_greedy_and_not_transitive(spark):
                 kept.append(i)
         df = network.independent_set(spark.createDataFrame(nodes, "id long, rank double"), spark.createDataFrame(sorted(pairs), "a long, b long"))
         assert {r.id: (r.kept, r.base) for r in df.collect()} == {i: (base[i] == i, base[i]) for i, _ in nodes}
+
+
+def test_components_that_have_not_converged_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not converged"):
+        connected_components(chain, most_rounds=2)
+    assert {r.root for r in connected_components(chain).collect()} == {0}
