@@ -228,6 +228,11 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, component of every row of docs."""
+    return _node_components(docs, words, percent).select("doc_id", "n", "component")
+
+
+def _node_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n, node, component of every row of docs."""
     base = stored(set_keys(docs, words, percent), "sets")
     nodes = base.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     members = _members(base)
@@ -253,7 +258,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     linked = named.join(component, "root").select("node", "component")
     alone = nodes.join(linked, "node", "left").select("node", F.coalesce("component", "rep").alias("component"))
     out = base.select("doc_id", "n", "node").join(alone, "node", "left")
-    return out.select("doc_id", "n", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id")).alias("component"))
+    return out.select("doc_id", "n", "node", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id")).alias("component"))
 
 
 def _in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,10 +373,24 @@ def _candidate_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, words
 
 
 def keep_one_of_each_group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns."""
-    found = link_components(docs, words, percent)
-    gone = found.filter("component <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows of docs whose id is the smallest of their component, with all their columns.
+
+    Rows are judged by id and node: of an id with several texts, only those go that link to a smaller id.
+    """
+    found = _node_components(docs, words, percent)
+    moved = F.col("component") != F.col("doc_id")
+    ids = found.groupBy("doc_id").agg(F.count(F.when(moved, 1)).alias("lost"), F.count(F.lit(1)).alias("n")).filter("lost > 0")
+    ids = stored(ids.select("doc_id", (F.col("lost") < F.col("n")).alias("mixed")), "gone")
+    kept = docs.join(ids.filter("not mixed").select("doc_id"), "doc_id", "left_anti")
+    mixed = ids.filter("mixed").select("doc_id")
+    if mixed.isEmpty():
+        return kept
+    h = F.xxhash64("text")
+    texts = stored(docs.select(F.col("doc_id").cast("long"), "text").join(mixed, "doc_id", "left_semi").withColumn("h", h), "mixed")
+    nodes = set_keys(texts.select(F.col("h").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("h"), "node").distinct()
+    gone = found.filter(moved).select("doc_id", "node").join(mixed, "doc_id", "left_semi").distinct()
+    gone = texts.select("doc_id", "h").distinct().join(nodes, "h").join(gone, ["doc_id", "node"]).select("doc_id", F.col("h").alias("__h")).distinct()
+    return kept.withColumn("__h", h).join(stored(gone, "gone"), ["doc_id", "__h"], "left_anti").drop("__h")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

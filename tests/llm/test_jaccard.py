@@ -137,3 +137,13 @@ def test_runs_pass_every_row_whose_key_has_two_nodes():
         ends = {r for r in rows if r[0] in (rows[0][0], rows[-1][0])}
         assert want <= set(got) <= want | ends and len(got) == len(set(got))
     assert list(jaccard._in_runs(iter([]))) == []
+
+
+def test_only_the_linked_text_of_an_id_goes(spark):
+    vocab = [f"w{k}" for k in range(400)]
+    one, two = " ".join(vocab[:80]), " ".join(vocab[100:180])
+    rows = [(3, one), (7, one + " end"), (7, two), (7, two), (7, None), (9, two + " end"), (None, one), (11, "alone")]
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    kept = jaccard.keep_one_of_each_group(df)
+    want = [(3, one), (7, two), (7, two), (7, None), (None, one), (11, "alone")]
+    assert sorted(((r.doc_id, r.text) for r in kept.select(*df.columns).collect()), key=str) == sorted(want, key=str)
