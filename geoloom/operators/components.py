@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.session import stored
+from geoloom.session import free, stored
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        pairs = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "star")
+        pairs, before = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "star"), pairs
+        free(before)
         seen = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             break

@@ -46,7 +46,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Removes the folders of tables made by ``stored``, once nothing will read them again."""
+    global _scratch
+    paths = {getattr(t, "_scratch_path", None) for t in tables} - {None}
+    kept = []
+    for fs, path in _scratch:
+        if any(path.toString().endswith(p.rsplit("/", 1)[-1]) for p in paths):
+            fs.delete(path, True)
+        else:
+            kept.append((fs, path))
+    _scratch = kept
 
 
 @atexit.register
@@ -71,10 +86,9 @@ def local_session(cpus: int | str = "*", app: str = "geoloom", **conf: str) -> S
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, unless their path already leads to it.
+    """Sends this package to the Python workers of a cluster, or of a local master whose workers' path does not lead to it.
 
-    Workers start in the driver's folder with its PYTHONPATH; elsewhere (a driver
-    that only extended sys.path, or a cluster without the package) they need it.
+    Only a local master's workers start in the driver's folder with its PYTHONPATH.
     """
     import os
     import zipfile
@@ -83,7 +97,8 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent.parent
     known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     context = spark.sparkContext
-    if any(p and Path(p).resolve() == root for p in known) or getattr(context, "_geoloom_shipped", False):
+    at_hand = context.master.startswith("local") and not context.master.startswith("local-cluster") and any(p and Path(p).resolve() == root for p in known)
+    if at_hand or getattr(context, "_geoloom_shipped", False):
         return
     archive = Path(tempfile.mkdtemp(prefix="geoloom-")) / "geoloom.zip"
     with zipfile.ZipFile(archive, "w") as z:
