@@ -8,8 +8,8 @@ inverted lists, which are scanned; the boundary between the two is chosen by cos
 Equal sets are one node, whatever their number. A list is scanned from its hub,
 the member that meets most others: the hub is verified against all other members.
 Members that are in different components after that can only link if they share
-about half of what sets them apart from the hub; they are joined on the rarest of
-those differences and verified. So a list of near copies costs its length, and no
+about half of what sets them apart from the hub; those that share so much with
+other components are joined on the rarest of those differences and verified. So a list of near copies costs its length, and no
 pair of different components that could link goes unverified: components are exact.
 
 Nulls, empty texts and texts without words have empty sets: component = the own
@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from geoloom.llm.shingles import shingle_sets
 from geoloom.llm.wordhash import mix
 from geoloom.operators.components import connected_components
-from geoloom.session import stored
+from geoloom.session import free, stored
 
 #: Words of a shingle, and least similarity in hundredths: the pipeline's, and the contract's.
 WORDS, PERCENT = 5, 80
@@ -151,6 +151,8 @@ class Plan:
 
 #: Nodes whose ids may be broadcast to fetch their texts (8 bytes each); more are joined by shuffle.
 BROADCAST_NODES = 1_000_000
+#: Pairs of one node beyond which they are dealt to several copies of its set.
+HEAVY = 1000
 #: Texts that are turned into sets together.
 BATCH_CHARS = 4 << 20
 
@@ -212,18 +214,32 @@ def node_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def similarities(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked of node pairs a, b; exact."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
-    union = F.col("total") - F.col("common")
-    return both.select("a", "b", (F.col("common") * 100 >= union * percent).alias("linked"))
+def _with_sets(pairs: DataFrame, sets: DataFrame, many: str, other: str) -> DataFrame:
+    """pairs with the sets of both nodes as ``sm`` and ``so``.
 
+    A node of ``many`` may have any number of pairs: one with more than HEAVY has
+    copies of its set, between which its pairs are dealt by their other node.
+    """
+    left, right = sets.select(F.col("node").alias(many), F.col("shingles").alias("sm")), sets.select(F.col("node").alias(other), F.col("shingles").alias("so"))
+    heavy = pairs.groupBy(many).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY).select(many, F.ceil(F.col("n") / HEAVY).cast("int").alias("copies"))
+    heavy = stored(heavy, "heavy")
+    n = heavy.count()
+    if not n:
+        free(heavy)
+        return pairs.join(left, many).join(right, other)
+    if n <= BROADCAST_NODES:
+        heavy = F.broadcast(heavy)
+    pairs = pairs.join(heavy, many, "left").withColumn("copy", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    left = left.join(heavy, many, "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    return pairs.join(left, [many, "copy"]).drop("copy").join(right, other)
 
-def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+def similarities(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, linked, na, nb (sizes), apart (size of the symmetric difference) of node pairs a, b; exact. A node may be ``a`` of any number of pairs."""
+    both = _with_sets(pairs.select("a", "b"), sets, "a", "b")
+    both = both.select("a", "b", F.size("sm").alias("na"), F.size("so").alias("nb"), F.size(F.array_intersect("sm", "so")).cast("long").alias("common"))
+    union = F.col("na") + F.col("nb") - F.col("common")
+    return both.select("a", "b", (F.col("common") * 100 >= union * percent).alias("linked"), "na", "nb", (union - F.col("common")).cast("int").alias("apart"))
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -238,22 +254,29 @@ def _node_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     members = _members(base)
     sets = _candidate_sets(docs, nodes, members, words)
 
-    count = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    sized = members.join(count, "key")
+    postings = members.select("key", "node")
+    sized = postings.join(postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key")
     score = sized.groupBy("node").agg(F.sum("size").alias("score"))
     lists = stored(sized.drop("size").join(score, "node"), "lists")  # key, node, score
     hub = lists.groupBy("key").agg(F.max(F.struct("score", "node")).alias("top")).select("key", F.col("top.node").alias("hub"))
-    star = stored(lists.join(hub, "key").filter("hub <> node").select("hub", "node").distinct(), "star")
-    near = stored(similarities(_pairs(star, "hub", "node"), sets, percent), "near")
+    # the hub is the greater of the two by (score, node), so no pair comes twice the other way round
+    star = stored(lists.join(hub, "key").filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    free(members, lists)
+    near = stored(similarities(star, sets, percent), "near")
+    free(star)
     links = near.filter("linked").select("a", "b")
     roots = connected_components(links)
-    pairs = _residual_pairs(star, near, roots, sets, percent)
+    pairs = _residual_pairs(near, roots, sets, percent)
     more = stored(similarities(pairs, sets, percent).filter("linked").select("a", "b"), "more")
+    free(pairs, sets)
     if not more.isEmpty():
-        roots = connected_components(links.union(more))
+        before, roots = roots, connected_components(links.union(more))
+        free(before)
+    free(near, more)
 
     named = roots.join(nodes, "node").select("node", "root", "rep")
-    named = stored(named, "named")
+    named, before = stored(named, "named"), roots
+    free(before)
     component = named.groupBy("root").agg(F.min("rep").alias("component"))
     linked = named.join(component, "root").select("node", "component")
     alone = nodes.join(linked, "node", "left").select("node", F.coalesce("component", "rep").alias("component"))
@@ -318,46 +341,73 @@ def _members(base: DataFrame) -> DataFrame:
     members = stored(live.mapInArrow(_in_runs, "key long, node long, need int").distinct(), "members")
     for _ in range(2):
         enough = members.groupBy("node", "need").agg(F.count(F.lit(1)).alias("n")).filter("n >= need").select("node")
-        members = members.join(enough, "node", "left_semi")
-        lists = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        members = stored(members.join(lists, "key", "left_semi").select("key", "node", "need"), "members")
-    return members.select("key", "node")
+        left = members.join(enough, "node", "left_semi")
+        lists = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+        members, before = stored(left.join(lists, "key", "left_semi").select("key", "node", "need"), "members"), members
+        free(before)
+    return members
 
 
-def _residual_pairs(star: DataFrame, near: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _residual_pairs(near: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of members of one hub's lists that may link, though their components differ.
 
-    D(x) is the symmetric difference of x and the hub. |x + y| (symmetric) is
-    |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and linked sets differ in at most
-    H(x, y) = r (n_x + n_y) shingles. At least one of x, y is not linked with the
-    hub, so |D(y)| > r (n_y + n_hub), and more than (|D(x)| + r (n_hub - n_x)) / 2
-    differences must be shared: about half of all. So pairs are sought among
-    the rarest differences of each member only (a prefix filter, rarest first):
-    near copies of one text differ from it by shingles of their own, and do not meet.
+    D(x) is the symmetric difference of x and the hub, d(x) its size. Sets x and y
+    link if |x + y| (symmetric) = d(x) + d(y) - 2 |D(x) & D(y)| is at most
+    H(x, y) = r (n_x + n_y); r = (100 - percent) / (100 + percent). So they share
+    at least (d(x) + d(y) - H) / 2 differences. Here one of the two at least is
+    not linked with the hub, and no pair with a d beyond the other's + H links:
+
+    * x shares more than (d(x) + r (n_hub - n_x)) / 2 differences with a y that
+      is not linked with the hub (``shared``), and
+    * at least d(x) - H with any (``least`` = d(x) - H(x), H(x) being the largest H).
+
+    A difference that one component has to itself is shared with none; a member
+    with fewer others than it must share goes, and its differences with it
+    (twice). What stays is sought by a prefix filter, the rarest first, and pairs
+    whose later differences are too few for what they must share are no candidates.
+    Near copies of one text differ from it by shingles of their own and do not meet.
     """
-    at = [F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")]
-    known = star.select("hub", "node", *at).join(near.select("a", "b", "linked"), ["a", "b"]).select("hub", "node", "linked")
-    known = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = known.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
-    apart = known.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.coalesce("hub_root", "hub")).alias("own"))
-    apart = apart.filter("lo <> hi or lo <> own").select("hub")
-    known = stored(known.select("hub", "node", "linked", "root").join(apart, "hub"), "known")
-    left = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sh"))
-    both = known.join(sets, "node").join(left, "hub")
-    differ = both.select("hub", "node", "linked", "root", F.size("sh").alias("nh"), F.size("shingles").alias("nx"), F.concat(F.array_except("sh", "shingles"), F.array_except("shingles", "sh")).alias("d"))
     p, q = 100 + percent, 100 - percent
-    shared = F.floor((F.size("d") * p + (F.col("nh") - F.col("nx")) * q) / F.lit(2.0 * p)) + 1
-    most = F.floor((F.col("nx") + F.floor(F.col("nx") * 100 / F.lit(float(percent)))) * q / F.lit(float(p)))
-    differ = differ.withColumn("short", F.size("d") - shared + 1).withColumn("long", F.when(F.col("linked"), F.lit(0)).otherwise(F.least(F.size("d"), most + 1)))
-    each = stored(differ.select("hub", "node", "linked", "root", "short", "long", F.explode("d").alias("e")), "differences")
-    rarity = each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    ranked = each.join(rarity, ["hub", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("hub", "node").orderBy("df", "e")))
-    # a difference that one component has to itself joins nothing
-    ranked = stored(ranked.filter("lo <> hi and rank <= greatest(short, long)").select("hub", "e", "node", "root", "linked", "rank", "short", "long"), "ranked")
-    one = ranked.filter("rank <= short").select("hub", "e", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("linked").alias("lx"))
-    two = ranked.filter("not linked").select("hub", "e", F.col("node").alias("y"), F.col("root").alias("ry"), (F.col("rank") <= F.col("short")).alias("sy"))
-    met = one.join(two, ["hub", "e"]).filter("rx <> ry and (lx or (sy and x < y))")
-    return _pairs(met, "x", "y")
+    root = roots.select(F.col("node").alias("b"), "root")
+    known = near.join(root, "b", "left").withColumn("root", F.coalesce("root", "b"))
+    split = known.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("a")
+    most = F.floor((F.col("nb") + F.floor(F.col("nb") * 100 / F.lit(float(percent)))) * q / F.lit(float(p)))
+    shared = F.floor((F.col("apart") * p + (F.col("na") - F.col("nb")) * q) / F.lit(2.0 * p)) + 1
+    known = known.join(split, "a").select(F.xxhash64("a", "b").alias("m"), "a", "b", "root", "linked", F.col("nb").alias("n"), F.col("apart").alias("d"), shared.alias("shared"), most.alias("most"))
+    known = stored(known, "known")
+    both = _with_sets(known.select("a", "b", "m", "root"), sets, "a", "b")
+    differ = F.concat(F.array_except("sm", "so"), F.array_except("so", "sm"))
+    # a difference is known by a hash of it and the hub; the counts and the rows they are joined with share one shuffle
+    live = both.select("m", "root", F.explode(F.transform(differ, lambda e: F.xxhash64("a", e))).alias("e")).repartition("e")
+    held = []
+    for _ in range(2):
+        held.append(stored(live.join(_shared_by_components(live), "e").select("m", "root", "e"), "live"))
+        count = held[-1].groupBy("m").agg(F.count(F.lit(1)).alias("live"))
+        alive = known.join(count, "m").filter("live >= if(linked, shared, greatest(1, d - most))").select("m")
+        live = held[-1].join(alive, "m", "left_semi")
+    live = stored(live.join(_shared_by_components(live), "e").select("m", "e", "df"), "live")
+    free(*held)
+    count = live.groupBy("m").agg(F.count(F.lit(1)).alias("live"))
+    # places are counted among the live differences: the others, of which no two components share one, come first
+    rank = F.row_number().over(Window.partitionBy("m").orderBy("df", "e"))
+    ranked = live.select("m", "e", rank.alias("rank")).join(known.join(count, "m"), "m").withColumn("place", F.expr("rank + d - live"))
+    one = "live >= shared and place <= if(linked, d - shared + 1, least(d - shared, most div 2) + 1)"
+    two = "not linked and place <= least(d, most + 1)"
+    ranked = stored(ranked.withColumn("one", F.expr(one)).withColumn("two", F.expr(two)).filter("one or two"), "ranked")
+    names = ["m", "b", "root", "linked", "d", "n", "shared", "live", "rank", "place"]
+    x = ranked.filter("one").select("e", *[F.col(c).alias(f"x_{c}") for c in names])
+    y = ranked.filter("two").select("e", *[F.col(c).alias(f"y_{c}") for c in names])
+    roles = "x_root <> y_root and (x_linked or ((x_d, x_m) < (y_d, y_m) and y_place <= y_d - y_shared + 1))"
+    enough = f"least(x_live - x_rank, y_live - y_rank) + 1 >= ceil((x_d + y_d - floor({q} * (x_n + y_n) / {p}.0)) / 2.0)"
+    met = x.join(y, "e").filter(f"{roles} and {enough}")
+    out = stored(met.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct(), "residual")
+    free(live, known, ranked)
+    return out
+
+
+def _shared_by_components(live: DataFrame) -> DataFrame:
+    """e, df of the differences that members of two components or more have."""
+    return live.groupBy("e").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("e", "df")
 
 
 def _candidate_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, words: int) -> DataFrame:
@@ -368,6 +418,7 @@ def _candidate_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, words
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(side, "doc_id")
     made = node_sets(texts, words)
     once = stored(made, "shingles")
+    free(wanted)
     twice = once.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return once if twice.isEmpty() else stored(once.dropDuplicates(["node"]), "shingles")  # equal rows of one id
 
