@@ -47,8 +47,58 @@ def raster_headers(spark: SparkSession, path: str, pattern: str = "*.tif") -> Da
     return _blobs(spark, path, pattern).mapInPandas(run, HEADER)
 
 
+def _ranges(path: str):
+    """``read(at, size)`` over a file of any store that pyarrow opens."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path if "://" in path or ":" not in path else path.replace(":", "://", 1))
+    f = store.open_input_file(at)
+
+    def read(at: int, size: int) -> bytes:
+        f.seek(at)
+        return f.read(size)
+
+    return read
+
+
+def read_windows(spark: SparkSession, path: str, size: int = 1024, pattern: str = "*.tif") -> DataFrame:
+    """The tiles of ``read_tiles``, each read by itself: headers by ranges, then only the blocks that meet a tile.
+
+    No file is ever held whole, and a raster of any size is spread over tasks;
+    paths must be of a store that pyarrow opens.
+    """
+    names = [x.split()[0] for x in TILE.split(", ")]
+    plan = "path string, stem string, y int, x int, error string"
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, s in zip(b.path, b.stem):
+                try:
+                    w, h = tiff.header(_ranges(p))[:2]
+                    rows = [(p, s, y, x, None) for y in range(0, h, size) for x in range(0, w, size)]
+                except Exception as e:  # reported, not raised
+                    rows = [(p, s, 0, 0, str(e) or type(e).__name__)]
+                yield pd.DataFrame(rows, columns=["path", "stem", "y", "x", "error"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t in b.itertuples():
+                try:
+                    if t.error:
+                        raise ValueError(t.error)
+                    r = tiff.decode(_ranges(t.path), (t.y, t.x, size, size))
+                except Exception as e:  # reported, not raised
+                    yield pd.DataFrame([(t.stem, *[None] * 12, str(e) or type(e).__name__)], columns=names)
+                    continue
+                bands, h, w = r.data.shape
+                yield pd.DataFrame([(t.stem, t.y // size, t.x // size, t.y, t.x, h, w, bands, r.data.dtype.str.lstrip("<>=|"), r.gt, r.epsg, r.nodata, r.data.tobytes(), None)], columns=names)
+
+    found = inventory(spark, path, pattern).select("path", "stem").mapInPandas(windows, plan)
+    return found.repartition("path", "y", "x").mapInPandas(run, TILE)
+
+
 def read_tiles(spark: SparkSession, path: str, size: int = 1024, pattern: str = "*.tif") -> DataFrame:
-    """Rasters below a folder in tiles of at most size x size."""
+    """Rasters below a folder in tiles of at most size x size; whole files are read (see ``read_windows``)."""
     return decode_tiles(_blobs(spark, path, pattern), size)
 
 
@@ -102,6 +152,59 @@ def pixels_to_tiff(px: DataFrame, gt: list[float], epsg: int | None = None, noda
     return px.groupBy("raster_id").applyInPandas(run, "name string, content binary")
 
 
+def tile_files(tiles: DataFrame, lzw: bool = False, tile: int | None = None) -> DataFrame:
+    """name, content: a GeoTIFF for each tile of ``read_tiles`` (without errors), ``{raster}_{y}_{x}.tif``, with its own transform."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for b in batches:
+            rows = []
+            for t in b[b.error.isna()].itertuples():
+                data = np.frombuffer(t.data, "<" + t.dtype).reshape(int(t.bands), int(t.h), int(t.w))
+                epsg, nodata = (None if pd.isna(v) else v for v in (t.epsg, t.nodata))
+                rows.append((f"{t.raster_id}_{int(t.tile_y)}_{int(t.tile_x)}.tif", tiff.encode(tiff.Raster(data, list(t.gt), epsg and int(epsg), nodata), lzw=lzw, tile=tile)))
+            yield pd.DataFrame(rows, columns=["name", "content"])
+
+    return tiles.mapInPandas(run, "name string, content binary")
+
+
+def composite_files(px: DataFrame, gt: list[float], epsg: int | None = None) -> DataFrame:
+    """name, content: float32 GeoTIFFs of three bands clipped to 0..1 (raster_id, band 1..3, y, x, v); any other band is an error."""
+    ok = F.when(F.col("band").between(1, 3), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v")))).otherwise(F.raise_error(F.lit("a composite has three bands")))
+    return pixels_to_tiff(px.withColumn("v", ok), gt, epsg, None, "float32")
+
+
+def pixels_to_png(px: DataFrame) -> DataFrame:
+    """name, content: a PNG with alpha for each raster of (raster_id, y, x, r, g, b, a); for rasters that a task can hold."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        out = np.zeros((part.y.max() + 1, part.x.max() + 1, 4), np.uint8)
+        out[part.y, part.x] = part[["r", "g", "b", "a"]].to_numpy(np.uint8)
+        return pd.DataFrame({"name": [f"{part.raster_id.iloc[0]}.png"], "content": [tiff.encode_png(out)]})
+
+    return px.groupBy("raster_id").applyInPandas(run, "name string, content binary")
+
+
+def image_pixels(spark: SparkSession, path: str) -> DataFrame:
+    """stem, band (1: blue, 2: green, 3: red, 4: alpha; gray has one), y, x, v of ordinary images, as Spark's image reader decodes them."""
+    images = spark.read.format("image").option("dropInvalid", True).load(path)
+    slim = images.select(F.regexp_extract("image.origin", STEM, 1).alias("stem"), "image.height", "image.width", "image.nChannels", "image.data")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for b in batches:
+            for t in b.itertuples():
+                data = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, t.nChannels)
+                y, x, band = np.indices(data.shape).reshape(3, -1)
+                yield pd.DataFrame({"stem": t.stem, "band": band + 1, "y": y, "x": x, "v": data.reshape(-1)})
+
+    return slim.mapInPandas(run, "stem string, band int, y int, x int, v int")
+
+
 def save_files(files: DataFrame, folder: str) -> DataFrame:
     """Writes (name, content) below a folder of any store that pyarrow opens; name, status. A file that exists is replaced whole."""
 
@@ -131,7 +234,7 @@ def shapefile_schema(spark: SparkSession, path: str) -> list[tuple[str, str, int
 
 
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """fid, geom, and the attributes of a layer (path of its .shp); width and decimals are kept in the fields' metadata."""
+    """fid, geom, and the attributes of a layer (path of its .shp) but for deleted records; width and decimals are kept in the fields' metadata."""
     fields = shapefile_schema(spark, path)
     kinds = {"N": lambda d: T.DoubleType() if d else T.LongType(), "F": lambda d: T.DoubleType()}
     attributes = [T.StructField(n, kinds.get(t, lambda d: T.StringType())(d), True, {"width": w, "decimals": d}) for n, t, w, d in fields]
@@ -145,7 +248,7 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
             for shp, dbf in zip(b.column("shp").to_pylist(), b.column("dbf").to_pylist()):
                 shapes, records = shapefile.read_shapes(shp), shapefile.read_records(dbf)
                 for start in range(0, len(shapes), 5000):
-                    rows = [{"fid": start + k, "geom": None if s is None else {"type": s[0], "parts": [[{"x": p[0], "y": p[1]} for p in part] for part in s[1]]}, **{f.name: (float(r[f.name]) if isinstance(f.dataType, T.DoubleType) and r[f.name] is not None else r[f.name]) for f in attributes}} for k, (s, r) in enumerate(zip(shapes[start : start + 5000], records[start : start + 5000]))]
+                    rows = [{"fid": start + k, "geom": None if s is None else {"type": s[0], "parts": [[{"x": p[0], "y": p[1]} for p in part] for part in s[1]]}, **{f.name: (float(r[f.name]) if isinstance(f.dataType, T.DoubleType) and r[f.name] is not None else r[f.name]) for f in attributes}} for k, (s, r) in enumerate(zip(shapes[start : start + 5000], records[start : start + 5000])) if r is not None]
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -47,12 +47,15 @@ def read_fields(dbf: bytes) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def read_records(dbf: bytes) -> list[dict]:
-    """Values of each record that is not deleted; blanks are None."""
+def read_records(dbf: bytes) -> list[dict | None]:
+    """Values of each record, None for deleted ones (so that records and shapes keep their places); blanks are None."""
     n, size, width = struct.unpack_from("<IHH", dbf, 4)
     fields, out = read_fields(dbf), []
     for k in range(n):
         row = dbf[size + k * width : size + (k + 1) * width]
+        if row[:1] == b"*":
+            out.append(None)
+            continue
         at, values = 1, {}
         for name, kind, w, decimals in fields:
             raw = row[at : at + w].decode("utf-8", "replace").strip()

@@ -54,27 +54,46 @@ def _lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _tags(blob: bytes) -> tuple[str, dict[int, list]]:
-    end = {b"II": "<", b"MM": ">"}.get(blob[:2])
-    if end is None or struct.unpack_from(end + "H", blob, 2)[0] != 42:
-        raise ValueError("no classic TIFF")
-    (at,) = struct.unpack_from(end + "I", blob, 4)
-    (n,) = struct.unpack_from(end + "H", blob, at)
+class _Bytes:
+    """Bytes that are at hand, read like a file."""
+
+    def __init__(self, blob: bytes):
+        self.blob = blob
+
+    def __call__(self, at: int, size: int) -> bytes:
+        return self.blob[at : at + size]
+
+
+def _tags(read) -> tuple[str, dict[int, list]]:
+    """(byte order, tags) of a classic or a Big TIFF's first image; ``read(at, size)`` gives its bytes."""
+    if isinstance(read, bytes):
+        read = _Bytes(read)
+    head = read(0, 16)
+    end = {b"II": "<", b"MM": ">"}.get(head[:2])
+    magic = struct.unpack_from(end + "H", head, 2)[0] if end and len(head) >= 8 else 0
+    if magic not in (42, 43):
+        raise ValueError("no TIFF")
+    big = magic == 43
+    (at,) = struct.unpack_from(end + ("Q" if big else "I"), head, 8 if big else 4)
+    (n,) = struct.unpack(end + ("Q" if big else "H"), read(at, 8 if big else 2))
+    entry, room, at = (20, 8, at + 8) if big else (12, 4, at + 2)
+    directory = read(at, n * entry)
     tags: dict[int, list] = {}
     for k in range(n):
-        tag, kind, count = struct.unpack_from(end + "HHI", blob, at + 2 + 12 * k)
+        tag, kind, count = struct.unpack_from(end + ("HHQ" if big else "HHI"), directory, entry * k)
         if kind not in TYPES:
             continue
         size, code = TYPES[kind]
-        place = at + 10 + 12 * k
-        if size * count > 4:
-            (place,) = struct.unpack_from(end + "I", blob, place)
-        tags[tag] = [blob[place : place + count]] if code == "s" else list(struct.unpack_from(end + code * count, blob, place))
+        place = entry * k + entry - room
+        body = directory[place : place + room]
+        if size * count > room:
+            body = read(struct.unpack(end + ("Q" if big else "I"), body)[0], size * count)
+        tags[tag] = [body[:count]] if code == "s" else list(struct.unpack_from(end + code * count, body))
     return end, tags
 
 
-def header(blob: bytes) -> tuple[int, int, int, str, list[float] | None, int | None, float | None]:
-    """(width, height, bands, dtype, transform, epsg, nodata) without decoding samples."""
+def header(blob) -> tuple[int, int, int, str, list[float] | None, int | None, float | None]:
+    """(width, height, bands, dtype, transform, epsg, nodata) without decoding samples; of bytes, or of a function that reads ranges."""
     end, t = _tags(blob)
     kind = KIND[t.get(FORMAT, [1])[0]]
     dtype = f"{end}{kind}{t[BITS][0] // 8}"
@@ -91,48 +110,128 @@ def header(blob: bytes) -> tuple[int, int, int, str, list[float] | None, int | N
     return t[WIDTH][0], t[HEIGHT][0], t.get(SAMPLES, [1])[0], dtype, gt, epsg, nodata
 
 
-def decode(blob: bytes) -> Raster:
-    """All samples of the first image: strips or tiles, plain, deflate or LZW, horizontal predictor."""
-    end, t = _tags(blob)
-    w, h, bands, dtype, gt, epsg, nodata = header(blob)
+def _unpredicted(raw: bytes, kind: np.dtype, rows: int, columns: int, per: int, predictor: int) -> np.ndarray:
+    """Samples (rows, columns, per) of a block, its predictor undone."""
+    native = kind.newbyteorder("=")
+    if predictor == 3:  # differences of bytes, the most significant ones of a row first
+        planes = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, -1, per), axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, columns * per)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, columns, per).astype(native)
+    block = np.frombuffer(raw, kind).reshape(rows, columns, per).astype(native)
+    return np.cumsum(block, axis=1, dtype=native) if predictor == 2 else block
+
+
+def decode(blob, window: tuple[int, int, int, int] | None = None) -> Raster:
+    """Samples of the first image: strips or tiles, plain, deflate or LZW, horizontal or floating-point predictor.
+
+    ``blob`` is bytes, or a function ``read(at, size)``. Of a window (y, x, height,
+    width; cut to the image) only the blocks that meet it are read and decoded.
+    """
+    read = _Bytes(blob) if isinstance(blob, bytes) else blob
+    end, t = _tags(read)
+    w, h, bands, dtype, gt, epsg, nodata = header(read)
     kind, planar, squeeze = np.dtype(dtype), t.get(PLANAR, [1])[0], t.get(COMPRESSION, [1])[0]
     unpack = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress}.get(squeeze)
+    predictor = t.get(PREDICTOR, [1])[0]
     if unpack is None:
         raise ValueError(f"compression {squeeze} is not covered")
+    if predictor not in (1, 2, 3) or predictor == 3 and kind.kind != "f":
+        raise ValueError(f"predictor {predictor} is not covered")
     tiled = TILE_AT in t
     bw, bh = (t[TILE_W][0], t[TILE_H][0]) if tiled else (w, min(h, t.get(STRIP_ROWS, [h])[0]))
     at, size = (t[TILE_AT], t[TILE_BYTES]) if tiled else (t[STRIP_AT], t[STRIP_BYTES])
     across, down, deep = -(-w // bw), -(-h // bh), bands if planar == 2 else 1
     per = 1 if planar == 2 else bands
-    out = np.zeros((bands, h, w), kind.newbyteorder("="))
+    top, left, high, wide = window or (0, 0, h, w)
+    high, wide = max(0, min(high, h - top)), max(0, min(wide, w - left))
+    out = np.zeros((bands, high, wide), kind.newbyteorder("="))
     for k in range(across * down * deep):
         plane, rest = divmod(k, across * down)
         y, x = rest // across * bh, rest % across * bw
+        if y >= top + high or x >= left + wide or y + bh <= top or x + bw <= left or not size[k]:  # no bytes: a sparse block
+            continue
         rows = bh if tiled else min(bh, h - y)
-        block = np.frombuffer(unpack(blob[at[k] : at[k] + size[k]])[: rows * bw * per * kind.itemsize], kind).reshape(rows, bw, per).astype(out.dtype)
-        if t.get(PREDICTOR, [1])[0] == 2:
-            block = np.cumsum(block, axis=1, dtype=out.dtype)
-        part = block[: h - y, : w - x].transpose(2, 0, 1)
-        if planar == 2:
-            out[plane, y : y + part.shape[1], x : x + part.shape[2]] = part[0]
+        block = _unpredicted(unpack(read(at[k], size[k]))[: rows * bw * per * kind.itemsize], kind, rows, bw, per, predictor)
+        y0, x0, y1, x1 = max(y, top), max(x, left), min(y + rows, top + high), min(x + bw, left + wide)
+        part = block[y0 - y : y1 - y, x0 - x : x1 - x].transpose(2, 0, 1)
+        out[slice(plane, plane + 1) if planar == 2 else slice(None), y0 - top : y1 - top, x0 - left : x1 - left] = part
+    gt = gt or [0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    gt = [gt[0] + left * gt[1] + top * gt[2], gt[1], gt[2], gt[3] + left * gt[4] + top * gt[5], gt[4], gt[5]]
+    return Raster(out, gt, epsg, nodata)
+
+
+def _lzw_packed(data: bytes) -> bytes:
+    """TIFF's LZW: codes most significant bit first, the width changing one code early."""
+    table: dict[bytes, int] = {bytes([k]): k for k in range(256)}
+    out, bits, n, width, word = bytearray(), 0, 0, 9, b""
+
+    def put(code: int) -> None:
+        nonlocal bits, n
+        bits, n = bits << width | code, n + width
+        while n >= 8:
+            n -= 8
+            out.append(bits >> n & 255)
+        bits &= (1 << n) - 1
+
+    put(256)
+    following = 258
+    for k in range(len(data)):
+        longer = word + data[k : k + 1]
+        if longer in table:
+            word = longer
+            continue
+        put(table[word])
+        table[longer] = following
+        following += 1
+        if following == 4094:
+            put(256)
+            table, following, width = {bytes([j]): j for j in range(256)}, 258, 9
         else:
-            out[:, y : y + part.shape[1], x : x + part.shape[2]] = part
-    return Raster(out, gt or [0.0, 1.0, 0.0, 0.0, 0.0, 1.0], epsg, nodata)
+            width = 12 if following >= 2048 else 11 if following >= 1024 else 10 if following >= 512 else 9
+        word = data[k : k + 1]
+    if word:
+        put(table[word])
+        following += 1
+        width = 12 if following >= 2048 else 11 if following >= 1024 else 10 if following >= 512 else 9
+    put(257)
+    if n:
+        out.append(bits << 8 - n & 255)
+    return bytes(out)
+
+
+#: Bytes of samples beyond which ``encode`` writes a Big TIFF unless told.
+BIG_BYTES = 2_000_000_000
 
 
-def encode(r: Raster, deflate: bool = True, strip_rows: int = 64) -> bytes:
-    """Little-endian strips; keeps transform, EPSG code and nodata."""
+def encode(r: Raster, deflate: bool = True, strip_rows: int = 64, tile: int | None = None, lzw: bool = False, big: bool | None = None) -> bytes:
+    """Little-endian strips, or square tiles of ``tile`` pixels (a multiple of 16); plain, deflate or LZW.
+
+    Keeps transform, EPSG code and nodata. Beyond BIG_BYTES of samples (or if
+    ``big``) the file is a Big TIFF.
+    """
     data = np.ascontiguousarray(r.data if r.data.ndim == 3 else r.data[None])
     bands, h, w = data.shape
     data = data.astype(data.dtype.newbyteorder("<"))
-    pack = (lambda b: zlib.compress(b, 6)) if deflate else bytes
-    strips = [pack(data[:, y : y + strip_rows].transpose(1, 2, 0).tobytes()) for y in range(0, h, strip_rows)] or [b""]
-    fmt = {"u": 1, "i": 2, "f": 3}[data.dtype.kind]
+    big = data.nbytes > BIG_BYTES if big is None else big
+    pack = _lzw_packed if lzw else (lambda b: zlib.compress(b, 6)) if deflate else bytes
+    if tile:
+        if tile % 16:
+            raise ValueError("tiles are a multiple of 16 pixels")
+        padded = np.zeros((bands, -(-h // tile) * tile, -(-w // tile) * tile), data.dtype)
+        padded[:, :h, :w] = data
+        blocks = [pack(padded[:, y : y + tile, x : x + tile].transpose(1, 2, 0).tobytes()) for y in range(0, h, tile) for x in range(0, w, tile)]
+    else:
+        blocks = [pack(data[:, y : y + strip_rows].transpose(1, 2, 0).tobytes()) for y in range(0, h, strip_rows)]
+    blocks = blocks or [b""]
+    fmt, place_type = {"u": 1, "i": 2, "f": 3}[data.dtype.kind], 16 if big else 4
+    at_tag, size_tag = (TILE_AT, TILE_BYTES) if tile else (STRIP_AT, STRIP_BYTES)
     tags: list[tuple[int, int, list]] = [
-        (WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [data.dtype.itemsize * 8] * bands), (COMPRESSION, 3, [8 if deflate else 1]),
-        (PHOTOMETRIC, 3, [2 if bands >= 3 and data.dtype.itemsize == 1 else 1]), (STRIP_AT, 4, [0] * len(strips)), (SAMPLES, 3, [bands]),
-        (STRIP_ROWS, 4, [strip_rows]), (STRIP_BYTES, 4, [len(s) for s in strips]), (PLANAR, 3, [1]), (FORMAT, 3, [fmt] * bands),
+        (WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [data.dtype.itemsize * 8] * bands), (COMPRESSION, 3, [5 if lzw else 8 if deflate else 1]),
+        (PHOTOMETRIC, 3, [2 if bands >= 3 and data.dtype.itemsize == 1 else 1]), (at_tag, place_type, [0] * len(blocks)), (SAMPLES, 3, [bands]),
+        (size_tag, place_type, [len(s) for s in blocks]), (PLANAR, 3, [1]), (FORMAT, 3, [fmt] * bands),
     ]
+    tags += [(TILE_W, 3, [tile]), (TILE_H, 3, [tile])] if tile else [(STRIP_ROWS, 4, [strip_rows])]
+    if bands == 4 and data.dtype.itemsize == 1:
+        tags.append((EXTRA, 3, [2]))  # the fourth is alpha
     g = r.gt
     if g[2] == g[4] == 0 and g[5] < 0 < g[1]:
         tags += [(SCALE, 12, [g[1], -g[5], 0.0]), (TIEPOINT, 12, [0.0, 0.0, 0.0, g[0], g[3], 0.0])]
@@ -143,26 +242,26 @@ def encode(r: Raster, deflate: bool = True, strip_rows: int = 64) -> bytes:
     if r.nodata is not None:
         tags.append((NODATA, 2, [f"{r.nodata:.17g}".encode() + b"\0"]))
     tags.sort()
-    at = 8 + 2 + 12 * len(tags) + 4
-    extra = b""
-    packed = []
+    entry, room, count_code = (20, 8, "Q") if big else (12, 4, "I")
+    at = (16 + 8 if big else 8 + 2) + entry * len(tags) + (8 if big else 4)
+    extra, packed = b"", []
     for tag, kind, values in tags:
         size, code = TYPES[kind]
         body = values[0] if kind == 2 else struct.pack("<" + code * len(values), *values)
-        n = len(body) if kind == 2 else len(values)
-        packed.append([tag, kind, n, body, at + len(extra)])
-        if len(body) > 4:
+        packed.append([tag, kind, len(body) if kind == 2 else len(values), body, at + len(extra)])
+        if len(body) > room:
             extra += body + b"\0" * (len(body) % 2)
     first = at + len(extra)
-    places = np.cumsum([first] + [len(s) for s in strips[:-1]]).tolist()
+    places = np.cumsum([first] + [len(s) for s in blocks[:-1]]).tolist()
     directory = b""
     for tag, kind, n, body, place in packed:
-        if tag == STRIP_AT:
-            body = struct.pack(f"<{n}I", *places)
-            if len(body) > 4:
+        if tag == at_tag:
+            body = struct.pack(f"<{n}{TYPES[kind][1]}", *places)
+            if len(body) > room:
                 extra = extra[: place - at] + body + extra[place - at + len(body) :]
-        directory += struct.pack("<HHI", tag, kind, n) + (body.ljust(4, b"\0") if len(body) <= 4 else struct.pack("<I", place))
-    return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(tags)) + directory + b"\0\0\0\0" + extra + b"".join(strips)
+        directory += struct.pack("<HH" + count_code, tag, kind, n) + (body.ljust(room, b"\0") if len(body) <= room else struct.pack("<" + count_code, place))
+    head = b"II+\0" + struct.pack("<HHQQ", 8, 0, 16, len(tags)) if big else b"II*\0" + struct.pack("<IH", 8, len(tags))
+    return head + directory + b"\0" * room + extra + b"".join(blocks)
 
 
 def encode_png(data: np.ndarray) -> bytes:
