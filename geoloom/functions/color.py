@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # RGB steps of the named palettes, from low to high.
@@ -70,6 +70,30 @@ def lab_blend(r: Column, g: Column, b: Column, shade: Column, boost: float = 1.0
     return [F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)) for t in rgb]
 
 
+def blended(df: DataFrame, names: tuple[str, str, str], shade: str, boost: float = 1.0) -> DataFrame:
+    """df with its RGB columns (0..1) of a Lab lightness that is scaled by shade ** (1 / boost).
+
+    Step by step: each step uses the last one's columns several times, so the
+    optimizer keeps them as projections of their own, and no expression is copied.
+    """
+    df = df.withColumns({f"__c{k}": _linear(F.col(n)) for k, n in enumerate(names)})
+    df = df.withColumns({f"__t{k}": sum(m * F.col(f"__c{j}") for j, m in enumerate(row)) / w for k, (row, w) in enumerate(zip(TO_XYZ, WHITE))})
+    t = [F.col(f"__t{k}") for k in range(3)]
+    cube = [F.when(v > KNEE, F.cbrt(v)).otherwise(SLOPE * v + 16 / 116) for v in t]
+    light = F.when(t[1] > KNEE, 116 * F.cbrt(t[1]) - 16).otherwise(903.3 * t[1])
+    light = F.greatest(F.lit(0.0), F.least(F.lit(100.0), light * (F.pow(F.col(shade), F.lit(1.0 / boost)) if boost != 1 else F.col(shade))))
+    df = df.withColumns({"__l": light, "__f0": cube[0], "__f1": cube[1], "__f2": cube[2]})
+    low = F.col("__l") <= 903.3 * KNEE
+    df = df.withColumn("__y", F.when(low, F.col("__l") / 903.3).otherwise(F.pow((F.col("__l") + 16) / 116, F.lit(3.0))))
+    df = df.withColumn("__g", F.when(low, SLOPE * F.col("__y") + 16 / 116).otherwise((F.col("__l") + 16) / 116))
+    df = df.withColumns({"__gx": F.col("__g") + (F.col("__f0") - F.col("__f1")), "__gz": F.col("__g") - (F.col("__f1") - F.col("__f2"))})
+    back = [F.when(v <= SLOPE * KNEE + 16 / 116, (v - 16 / 116) / SLOPE).otherwise(v * v * v) * w for v, w in ((F.col("__gx"), WHITE[0]), (F.col("__gz"), WHITE[2]))]
+    df = df.withColumns({"__x": back[0], "__z": back[1]})
+    df = df.withColumns({f"__c{k}": m[0] * F.col("__x") + m[1] * F.col("__y") + m[2] * F.col("__z") for k, m in enumerate(TO_RGB)})
+    df = df.withColumns({n: F.greatest(F.lit(0.0), F.least(F.lit(1.0), _gamma(F.col(f"__c{k}")))) for k, n in enumerate(names)})
+    return df.drop(*[f"__{a}{k}" for a in "ctf" for k in range(3)], "__l", "__y", "__g", "__gx", "__gz", "__x", "__z")
+
+
 def to_bytes(c: Column) -> Column:
     """0..1 to 0..255, truncated."""
     return F.floor(c * 255).cast("int")

@@ -104,3 +104,31 @@ def to_utm(lon: Column, lat: Column, zone: Column) -> Column:
 def mapper_json(gt: Column, projection: Column, w: Column, h: Column) -> Column:
     """Coordinate mapper of an image as JSON."""
     return F.to_json(F.struct(gt.alias("geotransform"), projection.alias("projection"), F.array(h, w).alias("image_shape"), geo_extent(gt, w, h).alias("geo_extent")))
+
+
+def from_utm(easting: Column, northing: Column, zone: Column, south: bool = False) -> Column:
+    """Degrees (x: longitude, y: latitude) of a point in a zone: the inverse of ``to_utm``, by the inverse series and a fixed number of steps."""
+    f = 1 / 298.257222101
+    n = f / (2 - f)
+    a = RADIUS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    e = 2 * n**0.5 / (1 + n)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    xi, eta = (northing - (1e7 if south else 0.0)) / (0.9996 * a), (easting - 500000) / (0.9996 * a)
+    x, y = xi, eta
+    for k, b in enumerate(beta, 1):
+        x = x - b * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        y = y - b * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+    t = F.sin(x) / F.sqrt(F.sinh(y) * F.sinh(y) + F.cos(x) * F.cos(x))  # tangent of the conformal latitude
+    psi = F.asinh(t)
+    phi = F.asin(F.tanh(psi))
+    for _ in range(4):  # each step gains more than two digits
+        phi = F.asin(F.tanh(psi + e * F.atanh(e * F.sin(phi))))
+    lon = F.atan2(F.sinh(y), F.cos(x))
+    return F.struct((F.degrees(lon) + zone * 6 - 183).alias("x"), F.degrees(phi).alias("y"))
+
+
+def geo_box(gt: Column, box: Column) -> Column:
+    """Map box (xmin, ymin, xmax, ymax, ordered) of a pixel box of four numbers (column, row, column, row); null for other arrays."""
+    a, b = pixel_to_geo(gt, F.get(box, F.lit(0)), F.get(box, F.lit(1))), pixel_to_geo(gt, F.get(box, F.lit(2)), F.get(box, F.lit(3)))
+    out = F.struct(F.least(a["gx"], b["gx"]).alias("xmin"), F.least(a["gy"], b["gy"]).alias("ymin"), F.greatest(a["gx"], b["gx"]).alias("xmax"), F.greatest(a["gy"], b["gy"]).alias("ymax"))
+    return F.when(F.size(box) == 4, out)

@@ -15,11 +15,24 @@ def absolute_url(url: Column, host: str = HOST) -> Column:
     return F.when(u == "", "").when(u.startswith("//"), F.concat(F.lit("https:"), u)).when(u.startswith("/"), F.concat(F.lit(host), u)).when(u.rlike("^https?://"), u).otherwise(F.concat(F.lit(host + "/"), F.ltrim(u, F.lit("/"))))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that starts with a slash without its . and .. parts."""
+    parts = F.split(path, "/")
+    empty = F.array().cast("array<string>")
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), empty, lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(p == ".", a).otherwise(F.concat(a, F.array(p))))
+    end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), end)
+
+
 def joined_url(base: Column, url: Column) -> Column:
-    """url against the page it is on: absolute, protocol-relative, root-relative, or relative to the page's folder."""
+    """url against the page it is on: absolute, protocol-relative, root-relative, a query or fragment, or relative to the page's folder; . and .. are resolved."""
     scheme, root = F.regexp_extract(base, r"^(https?:)", 1), F.regexp_extract(base, r"^(https?://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"^(https?://[^/]*(?:/.*)?)/[^/]*$", "$1")
-    return F.when(url.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), url).when(url.startswith("//"), F.concat(scheme, url)).when(url.startswith("/"), F.concat(root, url)).otherwise(F.concat(folder, F.lit("/"), url))
+    page = F.regexp_extract(base, r"^https?://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_extract(F.regexp_replace(page, "^$", "/"), r"^(.*/)[^/]*$", 1)
+    path, rest = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"^[^?#]*([?#].*)?$", 1)
+    local = F.concat(root, without_dots(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))), rest)
+    query = F.concat(root, page, F.when(url.startswith("#"), F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1)).otherwise(""), url)
+    return F.when(url == "", F.regexp_replace(base, "#.*$", "")).when(url.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), url).when(url.startswith("//"), F.concat(scheme, url)).when(path == "", query).otherwise(local)
 
 
 def image_extension(url: Column) -> Column:
@@ -58,11 +71,18 @@ def unescape_html(text: Column) -> Column:
     return text
 
 
-def embedded_json(html: Column, patterns: list[str]) -> Column:
-    """First group of the first pattern that is found (dot matches newlines), unescaped; null if none is."""
-    return unescape_html(F.coalesce(*[F.nullif(F.regexp_extract(html, "(?s)" + p, 1), F.lit("")) for p in patterns]))
+def unescape_string(text: Column) -> Column:
+    """Escapes of a script's string literal (quotes, line ends, \\uXXXX); a text that is no such literal stays as it is."""
+    return F.coalesce(F.from_json(F.concat(F.lit('{"v":"'), text, F.lit('"}')), "v string")["v"], text)
+
 
+def embedded_json(html: Column, patterns: list[str], escaped: bool = False) -> Column:
+    """First group of the first pattern that is found (dot matches newlines), unescaped (also as a script's string if asked); null if none is."""
+    found = unescape_html(F.coalesce(*[F.nullif(F.regexp_extract(html, "(?s)" + p, 1), F.lit("")) for p in patterns]))
+    return unescape_string(found) if escaped else found
 
+
+# Fixed value: the shape of a message list.
 ARTICLES = "list array<struct<app_msg_ext_info:struct<title:string,content_url:string,cover:string,multi_app_msg_item_list:array<struct<title:string,content_url:string,cover:string>>>>>"
 
 
@@ -77,3 +97,8 @@ def articles(json: Column) -> Column:
         return F.concat(F.array(head), rest)
 
     return F.flatten(F.transform(rows, both))
+
+
+def inverse_map(m: Column) -> Column:
+    """A map from values to keys; values must be distinct."""
+    return F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(e["value"].alias("key"), e["key"].alias("value"))))

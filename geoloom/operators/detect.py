@@ -34,10 +34,10 @@ def mask_probability(coef: Column, proto: Column) -> Column:
     return 1 / (1 + F.exp(-F.aggregate(F.zip_with(coef, proto, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
 
 
-def merge_strict(px: DataFrame) -> DataFrame:
+def merge_strict(px: DataFrame, keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
     """Class and confidence of each pixel (y, x): the highest above 0; of equal ones the first seq."""
-    best = px.filter("conf > 0").groupBy("y", "x").agg(F.max(F.struct("conf", (-F.col("seq")).alias("s"), "cls")).alias("b"))
-    return best.select("y", "x", "b.cls", "b.conf")
+    best = px.filter("conf > 0").groupBy(*keys).agg(F.max(F.struct("conf", (-F.col("seq")).alias("s"), "cls")).alias("b"))
+    return best.select(*keys, "b.cls", "b.conf")
 
 
 def merge_priority(px: DataFrame) -> DataFrame:
@@ -46,6 +46,11 @@ def merge_priority(px: DataFrame) -> DataFrame:
     return best.select("y", "x", "b.cls", "b.conf")
 
 
-def class_confidence(px: DataFrame) -> DataFrame:
+def class_confidence(px: DataFrame, keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
     """Highest confidence of each class at each pixel."""
-    return px.groupBy("y", "x", "cls").agg(F.max("conf").alias("conf"))
+    return px.groupBy(*keys, "cls").agg(F.max("conf").alias("conf"))
+
+
+def small_instances(pixels: DataFrame, keys: list[str], least: int = 100) -> DataFrame:
+    """keys, n of the instances whose mask, cut to its box, has ``least`` pixels or more."""
+    return pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)

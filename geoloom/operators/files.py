@@ -86,10 +86,45 @@ def last_extension(images: DataFrame, order: list[str]) -> DataFrame:
 
 
 def flatten_plan(files: DataFrame) -> DataFrame:
-    """Copies of files (path, name) into one folder: later ones of a name, by path, get _1, _2, .."""
-    k = F.row_number().over(Window.partitionBy("name").orderBy("path")) - 1
+    """Copies of files (path, name) into one folder, in order of path: each takes the first free of its name and name_1, name_2, ..
+
+    A numbered name may be another file's own, so files whose names differ by
+    such numbers only are one family and are gone through in order. A family
+    with one name needs no going through: its files are numbered. The walk holds
+    the names that a family has taken, and reads its files in a stream.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
     stem, ext = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2)
-    return files.select(F.lit("copy").alias("action"), F.col("path").alias("src"), F.when(k == 0, F.col("name")).otherwise(F.concat(stem, F.lit("_"), k.cast("string"), ext)).alias("dst"))
+    each = files.select("path", "name", stem.alias("stem"), ext.alias("ext"), F.concat(F.regexp_replace(stem, r"(_[0-9]+)+$", ""), ext).alias("family"))
+    mixed = each.groupBy("family").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo <> hi").select("family")
+    k = F.row_number().over(Window.partitionBy("name").orderBy("path")) - 1
+    plain = each.join(mixed, "family", "left_anti")
+    plain = plain.select("path", F.when(k == 0, F.col("name")).otherwise(F.concat("stem", F.lit("_"), k.cast("string"), "ext")).alias("dst"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, taken, following = None, set(), {}
+        for b in batches:
+            out = []
+            for f, name, s, e in zip(*(b.column(c).to_pylist() for c in ("family", "name", "stem", "ext"))):
+                if f != family:
+                    family, taken, following = f, set(), {}
+                number, want = following.get(name, 0), name
+                if number or name in taken:
+                    number = max(number, 1)
+                    while f"{s}_{number}{e}" in taken:
+                        number += 1
+                    want = f"{s}_{number}{e}"
+                following[name] = number + 1
+                taken.add(want)
+                out.append(want)
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.string())], ["path", "dst"])
+
+    ordered = each.join(mixed, "family", "left_semi").select("family", "path", "name", "stem", "ext").repartition("family").sortWithinPartitions("family", "path")
+    both = plain.unionByName(ordered.mapInArrow(walk, "path string, dst string"))
+    return both.select(F.lit("copy").alias("action"), F.col("path").alias("src"), "dst")
 
 
 def rename_plan(files: DataFrame, remove: str, suffix: str = "") -> DataFrame:
@@ -114,3 +149,65 @@ def todo(inputs: DataFrame, outputs: DataFrame, overwrite: bool = False) -> Data
     done = outputs.select("stem").distinct().withColumn("__d", F.lit(True))
     status = F.lit("processed") if overwrite else F.when(F.col("__d"), "skipped_existing").otherwise("processed")
     return inputs.join(done, "stem", "left").withColumn("status", status).drop("__d")
+
+
+def suffix_index(files: DataFrame, suffixes: list[str]) -> DataFrame:
+    """key, path of files (stem, path): stems without their suffixes; the plan fails at run time on two files of one key."""
+    out = files.groupBy(strip_suffixes(F.col("stem"), suffixes).alias("key")).agg(F.min("path").alias("path"), F.max("path").alias("__other"), F.count(F.lit(1)).alias("__n"))
+    clash = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("names collide: "), F.col("path"), F.lit(", "), F.col("__other")))).otherwise(F.lit(True))
+    return out.filter(clash).select("key", "path")
+
+
+def suffix_join(left: DataFrame, right: DataFrame, suffixes: list[str]) -> DataFrame:
+    """key, left_path, right_path of files whose stems are equal without their suffixes."""
+    a, b = suffix_index(left, suffixes).withColumnRenamed("path", "left_path"), suffix_index(right, suffixes).withColumnRenamed("path", "right_path")
+    return a.join(b, "key")
+
+
+def tile_folders(layers: DataFrame, folders: DataFrame, suffixes: list[str]) -> DataFrame:
+    """stem, output_name, folder, status of layers (stem): the folder (folder) of their stripped name, else of their own; no_folder is a warning."""
+    have = folders.select("folder").distinct()
+    named = layers.select("stem", strip_suffixes(F.col("stem"), suffixes).alias("output_name"))
+    first, second = have.select(F.col("folder").alias("output_name"), F.col("folder").alias("__a")), have.select(F.col("folder").alias("stem"), F.col("folder").alias("__b"))
+    out = named.join(first, "output_name", "left").join(second, "stem", "left").withColumn("folder", F.coalesce("__a", "__b"))
+    return out.select("stem", "output_name", "folder", F.when(F.col("folder").isNull(), "no_folder").otherwise("matched").alias("status"))
+
+
+def label_density(files: DataFrame, by: str = "lines") -> DataFrame:
+    """stem, density of label files (stem, text): lines that are not blank, or bytes."""
+    lines = F.size(F.filter(F.split("text", "\r?\n"), lambda x: F.trim(x) != ""))
+    return files.select("stem", {"lines": lines, "bytes": F.octet_length("text")}[by].cast("long").alias("density"))
+
+
+def union_distinct(*lists: DataFrame) -> DataFrame:
+    """Files of several listings (case variants of a pattern, say), once each."""
+    out = lists[0]
+    for x in lists[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
+def workflow_counts(tiles: DataFrame, rgb_images: DataFrame, labels: DataFrame, split: DataFrame) -> DataFrame:
+    """One row: tiles, rgb_images, labels, train, val."""
+    kinds = {"tiles": tiles, "rgb_images": rgb_images, "labels": labels}
+    rows = [f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), "n") for name, f in kinds.items()]
+    rows.append(split.groupBy(F.col("split").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.union(r)
+    return every.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).cast("long").alias(k) for k in (*kinds, "train", "val")])
+
+
+def json_report(counts: DataFrame) -> DataFrame:
+    """report: a row of counts as JSON text."""
+    return counts.select(F.to_json(F.struct(*counts.columns)).alias("report"))
+
+
+def batch_log(inputs: DataFrame, outputs: DataFrame, root: str, suffix: str = "", overwrite: bool = False) -> DataFrame:
+    """src, dst, status of files (path, stem, ext) below a folder: outputs keep their place relative to it; what exists is skipped."""
+    relative = F.when(F.col("path").startswith(root), F.substr(F.col("path"), F.lit(len(root) + 1))).otherwise(F.col("path"))
+    folder = F.regexp_extract(relative, r"^(.*/)?[^/]*$", 1)
+    named = inputs.select(F.col("path").alias("src"), F.concat(folder, F.col("stem"), F.lit(suffix + "."), F.col("ext")).alias("dst"))
+    done = outputs.select(F.col("path").alias("dst")).distinct().withColumn("__d", F.lit(True))
+    status = F.lit("processed") if overwrite else F.when(F.col("__d"), "skipped_existing").otherwise("processed")
+    return named.join(done, "dst", "left").select("src", "dst", status.alias("status"))

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+# Extensions of the images that annotation files may name.
+ANNOTATED = ("jpg", "jpeg", "png", "bmp", "gif")
+
+
 def tokens(line: Column) -> Column:
     return F.filter(F.split(F.trim(line), r"\s+"), lambda t: t != "")
 
@@ -24,22 +28,26 @@ def parse_labels(lines: DataFrame, least: int = 5, polygons_only: bool = False)
     return t.filter("class_id is not null and not exists(coords, c -> c is null)").select("stem", "line_no", "class_id", "coords")
 
 
+def _numbers(lines: DataFrame) -> DataFrame:
+    """lines with ``__n``, their words as numbers (null: not numeric), of lines with any word; a generate keeps the parsing from being copied."""
+    parsed = F.array(F.transform(tokens(F.col("line")), lambda x: x.try_cast("double")))
+    return lines.select("stem", "line_no", F.explode(parsed).alias("__n")).filter(F.size("__n") > 0)
+
+
 def issues_boxes(lines: DataFrame) -> DataFrame:
     """Validator A: one issue a line - too few words (under 5), not numeric, or a coordinate outside 0..1 (NaN passes)."""
-    t = lines.withColumn("__t", tokens(F.col("line"))).filter(F.size("__t") > 0)
-    t = t.withColumn("__n", F.transform("__t", lambda x: x.try_cast("double")))
+    t = _numbers(lines)
     outside = F.exists(F.slice("__n", 2, F.size("__n")), lambda v: (v < 0) | ((v > 1) & ~F.isnan(v)))
-    issue = F.when(F.size("__t") < 5, "too_few").when(F.exists("__n", lambda v: v.isNull()), "not_numeric").when(outside, "out_of_range")
+    issue = F.when(F.size("__n") < 5, "too_few").when(F.exists("__n", lambda v: v.isNull()), "not_numeric").when(outside, "out_of_range")
     return t.withColumn("issue", issue).filter("issue is not null").select("stem", "line_no", "issue")
 
 
 def issues_polygons(lines: DataFrame) -> DataFrame:
     """Validator B: shape (under 7 words or an odd number of coordinates), else not numeric, else class and range, which can coexist."""
-    t = lines.withColumn("__t", tokens(F.col("line"))).filter(F.size("__t") > 0)
-    t = t.withColumn("__n", F.transform("__t", lambda x: x.try_cast("double")))
+    t = _numbers(lines)
     outside = F.exists(F.slice("__n", 2, F.size("__n")), lambda v: ~v.between(0, 1))
     both = F.array_compact(F.array(F.when(F.col("__n")[0] != F.floor(F.col("__n")[0]), F.lit("class_not_integer")), F.when(outside, F.lit("out_of_range"))))
-    found = F.when((F.size("__t") < 7) | (F.size("__t") % 2 == 0), F.array(F.lit("bad_shape"))).when(F.exists("__n", lambda v: v.isNull()), F.array(F.lit("not_numeric"))).otherwise(both)
+    found = F.when((F.size("__n") < 7) | (F.size("__n") % 2 == 0), F.array(F.lit("bad_shape"))).when(F.exists("__n", lambda v: v.isNull()), F.array(F.lit("not_numeric"))).otherwise(both)
     return t.select("stem", "line_no", F.explode(found).alias("issue"))
 
 
@@ -79,13 +87,59 @@ def coco_categories(labels: DataFrame, names: list[str]) -> DataFrame:
     return ids.select((F.col("k") + 1).alias("id"), name.alias("name"))
 
 
-def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame, split: str) -> str:
-    """One split's COCO JSON, for annotation files of a size that a driver can write."""
-    import json
+def annotated_images(files: DataFrame) -> DataFrame:
+    """Files (ext) that annotation files may name: no TIFF."""
+    return files.filter(F.lower("ext").isin(*ANNOTATED))
+
 
+def numbered(df: DataFrame, group: str, order: list[str], name: str = "id") -> DataFrame:
+    """Adds 1, 2, .. within each group in the order of columns, without one task seeing a group."""
+    ranked = global_rank(df, [group, *order])
+    starts = ranked.groupBy(group).agg((F.min("rank") - 1).alias("__s"))
+    return ranked.join(F.broadcast(starts), group).withColumn(name, F.col("rank") - F.col("__s")).drop("rank", "__s")  # a row a group
+
+
+def coco_ids(images: DataFrame, instances: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(images (stem, split) with id, instances (stem, line_no, ..) with split, image_id and id): both are numbered from 1 in each split."""
+    out = numbered(images.withColumn("__o", seeded(F.col("stem"), seed)), "split", ["__o", "stem"]).drop("__o")
+    at = instances.join(out.select("stem", "split", F.col("id").alias("image_id")), "stem")
+    return out, numbered(at, "split", ["image_id", "line_no"])
+
+
+def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame, split: str) -> DataFrame:
+    """part, at, text: the pieces of one split's COCO JSON in order; joined, they are the document. Nothing is gathered."""
     part = annotations.filter(F.col("split") == split).select("id", "image_id", "category_id", "bbox", "area", "iscrowd", "segmentation")
-    rows = {"images": images.filter(F.col("split") == split).drop("split").orderBy("id"), "annotations": part.orderBy("id"), "categories": categories.orderBy("id")}
-    return json.dumps({k: [json.loads(x) for x in v.toJSON().collect()] for k, v in rows.items()}, ensure_ascii=False)
+    lists = {"images": images.filter(F.col("split") == split).drop("split"), "annotations": part, "categories": categories}
+    out = None
+    for k, (name, rows) in enumerate(lists.items()):
+        first = rows.agg(F.min("id").alias("__first")).withColumn("__k", F.lit(0))  # one row
+        body = rows.withColumn("__k", F.lit(0)).join(F.broadcast(first), "__k").select(F.lit(2 * k + 1).alias("part"), F.col("id").cast("long").alias("at"), F.concat(F.when(F.col("id") == F.col("__first"), "").otherwise(","), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).alias("text"))
+        head = rows.sparkSession.range(1).select(F.lit(2 * k).alias("part"), F.lit(0).cast("long").alias("at"), F.lit(("{" if k == 0 else "],") + f'"{name}":[').alias("text"))
+        out = head.union(body) if out is None else out.union(head).union(body)
+    return out.union(out.sparkSession.range(1).select(F.lit(2 * len(lists)), F.lit(0).cast("long"), F.lit("]}"))).orderBy("part", "at")
+
+
+def validate_images(images: DataFrame, labels: DataFrame, lines: DataFrame, least: float = 1.0) -> DataFrame:
+    """Validator A over whole images: stem, line_no, issue.
+
+    images: stem, std (null: unreadable); labels: stem of the label files; lines: their
+    lines. An unreadable image has that issue only. A solid one (deviation under
+    ``least``) is reported and goes on; without a label file it has no lines to check.
+    """
+    none = F.lit(None).cast("long")
+    readable = images.filter("std is not null")
+    files = labels.select("stem").distinct()
+    out = images.filter("std is null").select("stem", none.alias("line_no"), F.lit("unreadable").alias("issue"))
+    out = out.union(readable.filter(F.col("std") < least).select("stem", none, F.lit("solid_colour")))
+    out = out.union(readable.select("stem").join(files, "stem", "left_anti").select("stem", none, F.lit("missing_label")))
+    found = issues_boxes(lines).join(readable.select("stem").distinct(), "stem", "left_semi").join(files, "stem", "left_semi")
+    return out.union(found.select("stem", F.col("line_no").cast("long"), "issue"))
+
+
+def top_detections(detections: DataFrame, n: int = 300) -> DataFrame:
+    """The n best detections (tile, det, conf) of each tile; ties: smallest det."""
+    best = F.row_number().over(Window.partitionBy("tile").orderBy(F.col("conf").desc(), "det"))
+    return detections.withColumn("__r", best).filter(F.col("__r") <= n).drop("__r")
 
 
 def yolo_text(labels: DataFrame, tiles: DataFrame) -> DataFrame:

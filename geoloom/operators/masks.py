@@ -302,7 +302,7 @@ def decode_instances(detections: DataFrame, proto: np.ndarray, size: int, min_pi
 
 
 def run_model(tiles: DataFrame, load, schema: str) -> DataFrame:
-    """Applies a model to tiles: ``load()`` is called once a Python worker and gives a function from a pandas frame of tiles to one of detections."""
+    """Applies a model to tiles: ``load()`` is called once a task and gives a function from a pandas frame of tiles to one of detections."""
 
     def run(batches):
         model = load()

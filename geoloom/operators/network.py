@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.operators.components import connected_components
-from geoloom.session import stored
+from geoloom.session import free, stored
 
 
 def node_degrees(edges: DataFrame) -> DataFrame:
@@ -129,24 +129,28 @@ def bridges_by_labels(core: DataFrame, roots: DataFrame) -> DataFrame:
     return core.select("fid").limit(0) if found is None else found
 
 
+def _walk_bridges(part: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"fid": sorted(bridges_of(part.fid.tolist(), part.u.tolist(), part.v.tolist()))}, dtype="int64")
+
+
 def bridges(edges: DataFrame, most_edges: int = 1_000_000) -> DataFrame:
     """fid of every bridge of a multigraph.
 
-    Leaves are stripped in parallel first. Of what is left, components of up to
-    ``most_edges`` edges are walked by one task each; larger ones go through
-    random labels, level by level, and are never gathered.
+    A network of up to ``most_edges`` edges is walked by one task. Of a larger
+    one, leaves are stripped in parallel first; of what is left, components of up
+    to ``most_edges`` edges are walked by one task each, and larger ones go
+    through random labels, level by level: those are never gathered.
     """
-    gone, core = strip_leaves(edges.filter("u is not null and v is not null"))
+    real = edges.filter("u is not null and v is not null and u <> v").select("fid", "u", "v")
+    if real.limit(most_edges + 1).count() <= most_edges:
+        return real.groupBy(F.lit(0).alias("__one")).applyInPandas(_walk_bridges, "fid long")
+    gone, core = strip_leaves(real)
     core = stored(core, "core")
     roots = stored(connected_components(core.select(F.col("u").alias("a"), F.col("v").alias("b"))), "roots")
     parts = stored(core.join(roots.withColumnRenamed("node", "u"), "u").select("root", "fid", "u", "v"), "parts")
     sizes = stored(parts.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
     small, large = sizes.filter(F.col("n") <= most_edges).select("root"), sizes.filter(F.col("n") > most_edges).select("root")
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"fid": sorted(bridges_of(part.fid.tolist(), part.u.tolist(), part.v.tolist()))}, dtype="int64")
-
-    found = gone.union(parts.join(small, "root", "left_semi").groupBy("root").applyInPandas(walk, "fid long"))
+    found = gone.union(parts.join(small, "root", "left_semi").groupBy("root").applyInPandas(_walk_bridges, "fid long"))
     if not large.isEmpty():
         found = found.union(bridges_by_labels(parts.join(large, "root", "left_semi").drop("root"), roots.join(large, "root", "left_semi")))
     return found.distinct()
@@ -169,27 +173,60 @@ def cleanup(edges: DataFrame, length: float = 300) -> DataFrame:
     return kept
 
 
-def independent_set(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
+def _walk_kept(part: pd.DataFrame) -> pd.DataFrame:
+    """id, base of the nodes of conflicts (a, ra, b): one pass in order of (ra, a); base is the id of a kept one."""
+    near: dict = {}
+    for a, b in zip(part.a.tolist(), part.b.tolist()):
+        near.setdefault(a, []).append(b)
+    order = {a: k for k, a in enumerate(part[["ra", "a"]].drop_duplicates().sort_values(["ra", "a"]).a.tolist())}
+    base: dict = {}
+    for a in order:
+        kept = [b for b in near[a] if base.get(b) == b]
+        base[a] = min(kept, key=order.__getitem__) if kept else a
+    return pd.DataFrame({"id": list(base), "base": list(base.values())}, dtype="int64")
+
+
+def independent_set(nodes: DataFrame, conflicts: DataFrame, most_pairs: int = 1_000_000) -> DataFrame:
     """Greedy choice in the order of nodes (id, rank): a node is kept unless an earlier kept one conflicts with it.
 
-    conflicts holds pairs (a, b) of ids. In each round every undecided node that
-    is first among its undecided neighbours is kept and its neighbours are
-    absorbed; the outcome is that of one pass in order. Adds kept and base (the
-    first kept neighbour, or itself).
+    conflicts holds pairs (a, b) of ids. Up to ``most_pairs`` pairs are walked in
+    order by one task; of more, the components with up to so many are, by a task
+    each. Larger components go through rounds: every undecided node that is first
+    among its undecided neighbours is kept and its neighbours are absorbed, with
+    the outcome of one pass in order. Adds kept and base (the first kept
+    neighbour, or itself).
     """
     both = conflicts.select("a", "b").union(conflicts.select("b", "a")).filter("a <> b").distinct()
     ranked = nodes.select("id", "rank")
     near = stored(both.join(ranked.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(ranked.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b"), "near")
-    undecided, kept = ranked, None
+    if near.limit(2 * most_pairs + 1).count() <= 2 * most_pairs:
+        base = near.groupBy(F.lit(0).alias("__one")).applyInPandas(_walk_kept, "id long, base long")
+    else:
+        roots = stored(connected_components(near.filter("a < b").select("a", "b")), "roots")
+        parts = stored(near.join(roots.withColumnRenamed("node", "a"), "a"), "parts")
+        sizes = stored(parts.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        small, large = (sizes.filter(f"n {op} {2 * most_pairs}").select("root") for op in ("<=", ">"))
+        base = parts.join(small, "root", "left_semi").groupBy("root").applyInPandas(_walk_kept, "id long, base long")
+        if not large.isEmpty():
+            base = base.union(_kept_in_rounds(parts.join(large, "root", "left_semi").drop("root")))
+    base = base.withColumnRenamed("base", "__base")
+    out = nodes.join(stored(base, "base"), "id", "left").withColumn("base", F.coalesce("__base", "id"))
+    return out.withColumn("kept", F.col("base") == F.col("id")).drop("__base")
+
+
+def _kept_in_rounds(near: DataFrame) -> DataFrame:
+    """id, base of the nodes of conflicts (a, ra, b, rb, both ways), round by round."""
+    near = stored(near, "near")
+    undecided, kept = near.select(F.col("a").alias("id"), F.col("ra").alias("rank")).distinct(), None
     while True:
         live = near.join(undecided.select(F.col("id").alias("a")), "a", "left_semi").join(undecided.select(F.col("id").alias("b")), "b", "left_semi")
         behind = live.filter("rb < ra or (rb = ra and b < a)").select(F.col("a").alias("id")).distinct()
         first = stored(undecided.join(behind, "id", "left_anti"), "first")
         kept = first if kept is None else kept.union(first)
         absorbed = live.join(first.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
-        undecided = stored(undecided.join(first, "id", "left_anti").join(absorbed, "id", "left_anti"), "undecided")
+        before, undecided = undecided, stored(undecided.join(first, "id", "left_anti").join(absorbed, "id", "left_anti"), "undecided")
+        free(before)
         if undecided.isEmpty():
             break
-    base = near.join(kept.select(F.col("id").alias("b")), "b", "left_semi").groupBy("a").agg(F.min(F.struct("rb", "b")).alias("m")).select(F.col("a").alias("id"), F.col("m.b").alias("__base"))
-    out = nodes.join(kept.select("id", F.lit(True).alias("kept")), "id", "left").join(base, "id", "left")
-    return out.withColumn("kept", F.coalesce("kept", F.lit(False))).withColumn("base", F.when(F.col("kept"), F.col("id")).otherwise(F.col("__base"))).drop("__base")
+    base = near.join(kept.select(F.col("id").alias("b")), "b", "left_semi").groupBy("a").agg(F.min(F.struct("rb", "b")).alias("m")).select(F.col("a").alias("id"), F.col("m.b").alias("base"))
+    return base.join(kept.select("id"), "id", "left_anti").unionByName(kept.select("id", F.col("id").alias("base")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 NODATA = -9999.0
-#: Values at or below this are taken for broken nodata.
+# Fixed value: values at or below this are taken for broken nodata.
 FLOOR = -5000.0
 
 
@@ -47,14 +47,41 @@ def remap(px: DataFrame, first: float, second: float, first_to: float = 128, sec
     return out.join(good, "raster_id", "left_semi").withColumn("v", F.col("v").cast("int"))
 
 
+#: Values of one raster that an exact percentile may count in one task's buffer; of larger rasters they are ranked by a distributed sort.
+MOST_VALUES = 20_000_000
+
+
+def percentiles(px: DataFrame, values: dict[str, Column], probs: list[float], most: int | None = None) -> DataFrame:
+    """raster_id and an array for each name: exact percentiles (interpolated) of the values that are not null; null without any."""
+    most = MOST_VALUES if most is None else most
+    largest = px.groupBy("raster_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= most:
+        return px.groupBy("raster_id").agg(*[F.percentile(v, F.array(*map(F.lit, probs))).alias(name) for name, v in values.items()])
+    from geoloom.operators.labels import numbered
+    from geoloom.session import stored
+
+    out = px.select("raster_id").distinct()
+    for name, v in values.items():
+        each = px.select("raster_id", v.alias("__v")).filter("__v is not null")
+        n = each.groupBy("raster_id").agg(F.count(F.lit(1)).alias("__n"))
+        ranked = stored(numbered(each, "raster_id", ["__v"], "__k"), "ranks").join(F.broadcast(n), "raster_id")  # a row a raster
+        at = [F.lit(q) * (F.col("__n") - 1) for q in probs]
+        low = [F.max(F.when(F.col("__k") == F.floor(a) + 1, F.col("__v"))) for a in at]
+        high = [F.max(F.when(F.col("__k") == F.ceil(a) + 1, F.col("__v"))) for a in at]
+        part = [F.max(a - F.floor(a)) for a in at]
+        found = ranked.groupBy("raster_id").agg(F.array(*[lo + (hi - lo) * p for lo, hi, p in zip(low, high, part)]).alias(name))
+        out = out.join(found, "raster_id", "left")
+    return out
+
+
 def stats(px: DataFrame, ok: Column) -> DataFrame:
     """One row a raster: counts, range, mean, population deviation, median and 2/98 percentiles of valid pixels."""
     v = F.when(ok, F.col("v"))
-    return px.groupBy("raster_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count(v).alias("n_valid"), F.min(v).alias("lo"), F.max(v).alias("hi"),
-        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.coalesce(F.median(v), F.lit(0.0)).alias("median"),
-        F.percentile(v, F.array(F.lit(0.02), F.lit(0.98))).alias("p"),
+    plain = px.groupBy("raster_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count(v).alias("n_valid"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
     )
+    p = percentiles(px, {"p": v}, [0.02, 0.5, 0.98])
+    return plain.join(p, "raster_id").select("raster_id", "n", "n_valid", "lo", "hi", "mean", "std", F.coalesce(F.col("p")[1], F.lit(0.0)).alias("median"), F.when(F.col("p").isNotNull(), F.array(F.col("p")[0], F.col("p")[2])).alias("p"))
 
 
 def zscore(px: DataFrame) -> DataFrame:
@@ -67,7 +94,7 @@ def zscore(px: DataFrame) -> DataFrame:
 def stretch(px: DataFrame, value: str, ok: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Adds ``value``_01: percentiles of valid pixels to 0 and 1, clamped; 0 where invalid."""
     v = F.when(F.col(ok), F.col(value))
-    p = px.groupBy("raster_id").agg(F.percentile(v, F.array(F.lit(low), F.lit(high))).alias("p"))
+    p = percentiles(px, {"p": v}, [low, high])
     lo = F.coalesce(F.col("p")[0], F.lit(0.0))
     hi = F.coalesce(F.col("p")[1], F.lit(0.0))
     hi = F.when(hi <= lo, lo + 1e-6).otherwise(hi)
@@ -99,12 +126,10 @@ def gradients(px: DataFrame, value: str = "v") -> DataFrame:
 def topo_composite(px: DataFrame, nodata: float = NODATA) -> DataFrame:
     """dx, dy and curvature of the hole-filled surface, each stretched to 0..1; 0 where invalid."""
     ok = px.withColumn("ok", valid("v", nodata))
-    fill = ok.groupBy("raster_id").agg(F.coalesce(F.median(F.when(F.col("ok"), F.col("v"))), F.lit(0.0)).alias("fill"))
+    fill = percentiles(ok, {"p": F.when(F.col("ok"), F.col("v"))}, [0.5]).select("raster_id", F.coalesce(F.col("p")[0], F.lit(0.0)).alias("fill"))
     filled = ok.join(fill, "raster_id").withColumn("f", F.when(F.col("ok"), F.col("v")).otherwise(F.col("fill"))).drop("fill")
     out = gradients(filled, "f")
-    v = [F.when(F.col("ok"), F.col(c)) for c in ("dx", "dy", "curv")]
-    p = out.groupBy("raster_id").agg(*[F.percentile(c, F.array(F.lit(0.02), F.lit(0.98))).alias(f"p{k}") for k, c in enumerate(v)])
-    out = out.join(p, "raster_id")
+    out = out.join(percentiles(out, {f"p{k}": F.when(F.col("ok"), F.col(c)) for k, c in enumerate(("dx", "dy", "curv"))}, [0.02, 0.98]), "raster_id")
     bands = []
     for k, (c, name) in enumerate(zip(("dx", "dy", "curv"), ("b1", "b2", "b3"))):
         lo = F.coalesce(F.col(f"p{k}")[0], F.lit(0.0))
@@ -251,3 +276,87 @@ def repaired_stats(px: DataFrame) -> DataFrame:
 def invert(v: str | Column) -> Column:
     """Inverted 8-bit value."""
     return F.lit(255) - _v(v)
+
+
+def carried_nodata(nodata: Column) -> Column:
+    """The nodata value that an 8-bit copy keeps: one from 0 to 255, else none."""
+    return F.when(nodata.between(0, 255), nodata)
+
+
+def slope(px: DataFrame, res: float) -> DataFrame:
+    """raster_id, y, x, slope in degrees (3 x 3 gradients)."""
+    g = gradients(px)
+    steep = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / (8 * res)
+    return g.select("raster_id", "y", "x", F.degrees(F.atan(steep)).alias("slope"))
+
+
+def class_histogram(px: DataFrame, value: Column, confidence: Column | None = None) -> DataFrame:
+    """raster_id, bin, n (and mean confidence) of each value of a raster."""
+    extra = [] if confidence is None else [F.avg(confidence).alias("mean")]
+    return px.groupBy("raster_id", value.alias("bin")).agg(F.count(F.lit(1)).alias("n"), *extra)
+
+
+def band_mean(px: DataFrame) -> DataFrame:
+    """One band of several (raster_id, band, y, x, v): their mean at each pixel."""
+    return px.groupBy("raster_id", "y", "x").agg(F.avg("v").alias("v"))
+
+
+def aligned_grid(headers: DataFrame, xres: float, yres: float) -> DataFrame:
+    """raster_id, gt, w, h of the grid whose pixels are multiples of the resolution and that covers each raster (raster_id, gt, w, h)."""
+    gt = F.col("gt")
+    x2, y2 = gt[0] + F.col("w") * gt[1], gt[3] + F.col("h") * gt[5]
+    left, right = F.floor(F.least(gt[0], x2) / xres) * xres, F.ceil(F.greatest(gt[0], x2) / xres) * xres
+    low, top = F.floor(F.least(gt[3], y2) / yres) * yres, F.ceil(F.greatest(gt[3], y2) / yres) * yres
+    out = F.array(left.cast("double"), F.lit(float(xres)), F.lit(0.0), top.cast("double"), F.lit(0.0), F.lit(-float(yres)))
+    return headers.select("raster_id", out.alias("gt"), F.round((right - left) / xres).cast("int").alias("w"), F.round((top - low) / yres).cast("int").alias("h"))
+
+
+def warp(px: DataFrame, src: DataFrame, dst: DataFrame, bilinear: bool = True, nodata: float = NODATA, background: float | None = None, to_source=None, tile: str | None = None) -> DataFrame:
+    """raster_id, y, x, v of rasters on other grids: src and dst hold raster_id, gt, w, h (north up, no rotation); dst may hold more columns.
+
+    Every pixel of a target grid is made, its centre taken to the source's
+    coordinates (``to_source(gx, gy)`` gives a struct of x, y; equal systems if
+    None), and joined with the source pixels there: the one under it, or the
+    four around it, weighted; invalid ones leave their weight to the others.
+    What lies outside the source, or on invalid pixels, is ``background`` (nodata).
+    Several targets of one raster are told apart by the column ``tile`` of dst.
+    """
+    background = nodata if background is None else background
+    keys = ["raster_id", *([tile] if tile else []), "y", "x"]
+    grid = dst.select("*", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
+    gx, gy = F.col("gt")[0] + (F.col("x") + 0.5) * F.col("gt")[1], F.col("gt")[3] + (F.col("y") + 0.5) * F.col("gt")[5]
+    grid = grid.withColumn("__g", F.struct(gx.alias("x"), gy.alias("y")) if to_source is None else to_source(gx, gy)).drop("gt", "w", "h")
+    head = src.select("raster_id", F.col("gt").alias("__gt"), F.col("w").alias("__w"), F.col("h").alias("__h"))
+    grid = grid.join(head, "raster_id")
+    grid = grid.withColumn("__u", (F.col("__g.x") - F.col("__gt")[0]) / F.col("__gt")[1]).withColumn("__v", (F.col("__g.y") - F.col("__gt")[3]) / F.col("__gt")[5])
+    inside = (F.col("__u") >= 0) & (F.col("__u") < F.col("__w")) & (F.col("__v") >= 0) & (F.col("__v") < F.col("__h"))
+    at = grid.filter(inside).select(*keys, "__u", "__v", "__w", "__h")
+    if bilinear:
+        at = at.withColumn("__u", F.col("__u") - 0.5).withColumn("__v", F.col("__v") - 0.5)
+        corners = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (0, 1) for b in (0, 1)])
+        at = at.select("*", F.explode(corners).alias("c"))
+        tu, tv = F.col("__u") - F.floor("__u"), F.col("__v") - F.floor("__v")
+        weight = F.when(F.col("c.dy") == 1, tv).otherwise(1 - tv) * F.when(F.col("c.dx") == 1, tu).otherwise(1 - tu)
+        at = at.select(*keys, weight.alias("__wt"), F.greatest(F.lit(0), F.least(F.floor("__v") + F.col("c.dy"), F.col("__h") - 1)).cast("int").alias("__sy"), F.greatest(F.lit(0), F.least(F.floor("__u") + F.col("c.dx"), F.col("__w") - 1)).cast("int").alias("__sx"))
+    else:
+        at = at.select(*keys, F.lit(1.0).alias("__wt"), F.floor("__v").cast("int").alias("__sy"), F.floor("__u").cast("int").alias("__sx"))
+    taps = at.join(px.select("raster_id", F.col("y").cast("int").alias("__sy"), F.col("x").cast("int").alias("__sx"), "v"), ["raster_id", "__sy", "__sx"])
+    taps = taps.filter(valid("v", nodata) & (F.col("__wt") > 0))
+    found = taps.groupBy(*keys).agg((F.sum(F.col("__wt") * F.col("v")) / F.sum("__wt")).alias("v"))
+    return grid.select(*keys).join(found, keys, "left").select(*keys, F.coalesce("v", F.lit(float(background))).alias("v"))
+
+
+def render(px: DataFrame, cell: float, palette: str = "linsar", azimuth: float = -45, altitude: float = 45, z: float = 1, boost: float = 1.0, lo: float | None = None, hi: float | None = None, nodata: float = NODATA) -> DataFrame:
+    """raster_id, y, x, r, g, b, a (0..255) of elevations: validity eroded by a pixel, palette, hillshade, Lab blend; invalid pixels are clear."""
+    from geoloom.functions import color
+
+    ok = erode3(px.withColumn("__ok", valid("v", nodata, infinite=True).cast("int")), "__ok")
+    v = F.when(F.col("__ok") == 1, F.col("v"))
+    ends = ok.groupBy("raster_id").agg((F.min(v) if lo is None else F.lit(float(lo))).alias("__lo"), (F.max(v) if hi is None else F.lit(float(hi))).alias("__hi"))
+    shaded = hillshade(ok, cell, azimuth, altitude, z, nodata).join(ends, "raster_id")
+    on = F.col("__ok") == 1
+    rgb = color.elevation_color(F.col("v"), on, F.col("__lo"), F.col("__hi"), palette)
+    shaded = shaded.select("raster_id", "y", "x", "__ok", *[c.alias(n) for c, n in zip(rgb, "rgb")], F.when(on, F.col("shade")).otherwise(F.lit(0.0)).alias("__s"))
+    out = color.blended(shaded, ("r", "g", "b"), "__s", boost)
+    bands = [F.when(on, color.to_bytes(F.col(n))).otherwise(F.lit(0)).alias(n) for n in "rgb"]
+    return out.select("raster_id", "y", "x", *bands, F.when(on, F.lit(255)).otherwise(F.lit(0)).alias("a"))

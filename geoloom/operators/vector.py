@@ -13,6 +13,11 @@ from geoloom.operators.network import independent_set
 # Names of diagnostic fields of earlier passes, matched without case.
 DIAGNOSTIC_PREFIXES = ("lp_", "loop_")
 DIAGNOSTIC_PATTERNS = (r"len_m(_\d+)?", r"rm_code(_\d+)?")
+# Diagnostic fields that a second pass over dangling lines leaves out, without case.
+PASS_FIELDS = (
+    "len_m", "len_m_1", "s_deg", "e_deg", "rm_flag", "rm_code", "rm_code_1", "loop_rm",
+    "LP_LEN", "LP_SDEG", "LP_EDEG", "LP_RM", "LP_CODE", "LOOP_LEN", "LOOP_RM", "LOOP_CODE",
+)
 
 
 def is_diagnostic(name: str, exact: tuple[str, ...] = ("loop_rm",)) -> bool:
@@ -26,6 +31,12 @@ def prune_fields(layer: DataFrame, geometry: str, keep: list[str] | None = None)
     return layer.filter(F.col(geometry).isNotNull()).select(*names)
 
 
+def skip_pass_fields(layer: DataFrame) -> DataFrame:
+    """Drops the diagnostic fields of an earlier pass: just those names, no prefixes or patterns."""
+    known = {n.lower() for n in PASS_FIELDS}
+    return layer.drop(*[c for c in layer.columns if c.lower() in known])
+
+
 def decode_classes(layer: DataFrame, field: str, classes: dict[int, int] | None = None) -> DataFrame:
     """Adds cls: 255 is 0, 128 is 1 (decimals are cut off); rows of other or unreadable values go."""
     value = F.col(field).try_cast("double")
@@ -55,9 +66,26 @@ def schema_consensus(files: DataFrame) -> DataFrame:
     return both.select("file", (F.col("fields") == F.col("wanted")).alias("same"), F.size(F.array_except("wanted", "fields")).alias("n_missing"))
 
 
+#: A box takes cells of the finest of these sizes (in times the cell) that is no smaller than a LEVEL_STEP-th of it.
+LEVEL_STEP, LEVELS = 8, 12
+
+
 def _cells(df: DataFrame, cell: float) -> DataFrame:
-    spans = [F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)) for a, b in (("x1", "x2"), ("y1", "y2"))]
-    return df.withColumn("__cx", F.explode(spans[0])).withColumn("__cy", F.explode(spans[1]))
+    """df with the grid cells (__level, __cx, __cy) that each box meets; __home: cells of its own size.
+
+    A box of any size takes at most (LEVEL_STEP + 2) ** 2 cells of its own level, and
+    a few of each coarser one: two boxes meet at the level of the larger of them.
+    """
+    edge = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(0.0))
+    own = F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.ceil(F.log(F.greatest(edge / (cell * LEVEL_STEP), F.lit(1.0))) / F.log(F.lit(float(LEVEL_STEP))) - 1e-9))).cast("int")
+    out = df.withColumn("__own", own).withColumn("__level", F.explode(F.sequence(F.col("__own"), F.lit(LEVELS - 1)))).withColumn("__home", F.col("__level") == F.col("__own")).drop("__own")
+    size = cell * F.pow(F.lit(float(LEVEL_STEP)), F.col("__level"))
+    spans = [F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)) for a, b in (("x1", "x2"), ("y1", "y2"))]
+    return out.withColumn("__cx", F.explode(spans[0])).withColumn("__cy", F.explode(spans[1]))
+
+
+def _level_size(cell: float) -> Column:
+    return cell * F.pow(F.lit(float(LEVEL_STEP)), F.col("__level"))
 
 
 def bbox_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
@@ -67,25 +95,25 @@ def bbox_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     nothing needs to be made distinct. Output: all other columns of both sides.
     """
     names = {c: f"__r_{c}" for c in ("x1", "y1", "x2", "y2")}
-    r = _cells(right, cell)
+    r = _cells(right, cell).withColumnRenamed("__home", "__r_home")
     for a, b in names.items():
         r = r.withColumnRenamed(a, b)
-    both = _cells(left, cell).join(r, ["__cx", "__cy"])
+    both = _cells(left, cell).join(r, ["__level", "__cx", "__cy"]).filter("__home or __r_home")
     both = both.filter(bbox_meets(("x1", "y1", "x2", "y2"), tuple(names.values())))
-    once = (F.floor(F.greatest("x1", "__r_x1") / cell) == F.col("__cx")) & (F.floor(F.greatest("y1", "__r_y1") / cell) == F.col("__cy"))
-    return both.filter(once).drop("__cx", "__cy", "x1", "y1", "x2", "y2", *names.values())
+    size = _level_size(cell)
+    once = (F.floor(F.greatest("x1", "__r_x1") / size) == F.col("__cx")) & (F.floor(F.greatest("y1", "__r_y1") / size) == F.col("__cy"))
+    return both.filter(once).drop("__level", "__cx", "__cy", "__home", "__r_home", "x1", "y1", "x2", "y2", *names.values())
 
 
 def overlap_conflicts(boxes: DataFrame, threshold: float, cell: float) -> DataFrame:
     """a, b: boxes (det, cls, x1..y2) of one class whose intersection over union is above the threshold."""
-    other = boxes.select(F.col("det").alias("b"), F.col("cls").alias("bcls"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"), F.col("x2").alias("bx2"), F.col("y2").alias("by2"))
-    a, b = _cells(boxes, cell), other.select("*", F.col("bx1").alias("x1"), F.col("by1").alias("y1"), F.col("bx2").alias("x2"), F.col("by2").alias("y2"))
-    b = _cells(b, cell).drop("x1", "y1", "x2", "y2").withColumnRenamed("bcls", "cls")
-    pairs = a.join(b, ["cls", "__cx", "__cy"]).filter("det < b")
-    w = F.greatest(F.lit(0.0), F.least("x2", "bx2") - F.greatest("x1", "bx1"))
-    h = F.greatest(F.lit(0.0), F.least("y2", "by2") - F.greatest("y1", "by1"))
-    areas = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) + (F.col("bx2") - F.col("bx1")) * (F.col("by2") - F.col("by1"))
-    return pairs.filter(w * h > threshold * (areas - w * h)).select(F.col("det").alias("a"), "b").distinct()
+    other = boxes.select(F.col("det").alias("b"), F.col("cls").alias("bcls"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"), F.col("x2").alias("bx2"), F.col("y2").alias("by2"), "x1", "y1", "x2", "y2")
+    mine = boxes.select("det", "cls", F.col("x1").alias("ax1"), F.col("y1").alias("ay1"), F.col("x2").alias("ax2"), F.col("y2").alias("ay2"), "x1", "y1", "x2", "y2")
+    pairs = bbox_join(mine, other, cell).filter("cls = bcls and det < b")
+    w = F.greatest(F.lit(0.0), F.least("ax2", "bx2") - F.greatest("ax1", "bx1"))
+    h = F.greatest(F.lit(0.0), F.least("ay2", "by2") - F.greatest("ay1", "by1"))
+    areas = (F.col("ax2") - F.col("ax1")) * (F.col("ay2") - F.col("ay1")) + (F.col("bx2") - F.col("bx1")) * (F.col("by2") - F.col("by1"))
+    return pairs.filter(w * h > threshold * (areas - w * h)).select(F.col("det").alias("a"), "b")
 
 
 def nms(boxes: DataFrame, threshold: float = 0.5, cell: float = 64.0) -> DataFrame:
@@ -133,3 +161,64 @@ def with_field(layer: DataFrame, name: str, value: Column) -> DataFrame:
     """Sets a field, replacing one of that name in whatever case."""
     same = [c for c in layer.columns if c.lower() == name.lower()]
     return layer.withColumn(same[0] if same else name, value)
+
+
+def length_summary(layer: DataFrame, points: str, factor: float = 1.0) -> DataFrame:
+    """One row: total length of the lines (arrays of points), lines counted, and features skipped (null or no line)."""
+    ok = F.coalesce(F.size(points), F.lit(0)) >= 2
+    return layer.agg(F.coalesce(F.sum(F.when(ok, line_length(F.col(points), factor))), F.lit(0.0)).alias("total"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("skipped"))
+
+
+def segments_meet(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Whether two closed segments (x1, y1, x2, y2) have a point in common, ends and overlaps included."""
+
+    def side(p, q, x, y):
+        return F.signum((q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0]))
+
+    a1, a2, b1, b2 = (a[0], a[1]), (a[2], a[3]), (b[0], b[1]), (b[2], b[3])
+    s1, s2, s3, s4 = side(a1, a2, *b1), side(a1, a2, *b2), side(b1, b2, *a1), side(b1, b2, *a2)
+
+    def within(p, q, x, y):
+        return x.between(F.least(p[0], q[0]), F.greatest(p[0], q[0])) & y.between(F.least(p[1], q[1]), F.greatest(p[1], q[1]))
+
+    crossing = (s1 * s2 <= 0) & (s3 * s4 <= 0) & ~((s1 == 0) & (s2 == 0) & (s3 == 0) & (s4 == 0))
+    touching = ((s1 == 0) & within(a1, a2, *b1)) | ((s2 == 0) & within(a1, a2, *b2)) | ((s3 == 0) & within(b1, b2, *a1)) | ((s4 == 0) & within(b1, b2, *a2))
+    return crossing | touching
+
+
+def line_pairs(lines: DataFrame, cell: float) -> DataFrame:
+    """a, b: lines (fid, grid_code, parts of points) of one code that intersect; segments meet in grid cells."""
+    part = lines.select("fid", "grid_code", F.explode("parts").alias("p"))
+    steps = F.arrays_zip(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))).alias("s"), F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))).alias("e"))
+    seg = part.select("fid", "grid_code", F.explode(steps).alias("z")).select("fid", "grid_code", F.col("z.s.x").alias("sx"), F.col("z.s.y").alias("sy"), F.col("z.e.x").alias("ex"), F.col("z.e.y").alias("ey"))
+    box = [F.least("sx", "ex").alias("x1"), F.least("sy", "ey").alias("y1"), F.greatest("sx", "ex").alias("x2"), F.greatest("sy", "ey").alias("y2")]
+    ends = ("sx", "sy", "ex", "ey")
+    left = seg.select(F.col("fid").alias("a"), "grid_code", *[F.col(c).alias(f"a_{c}") for c in ends], *box)
+    right = seg.select(F.col("fid").alias("b"), F.col("grid_code").alias("code"), *[F.col(c).alias(f"b_{c}") for c in ends], *box)
+    met = bbox_join(left, right, cell).filter("grid_code <=> code and a < b")
+    return met.filter(segments_meet(tuple(F.col(f"a_{c}") for c in ends), tuple(F.col(f"b_{c}") for c in ends))).select("a", "b").distinct()
+
+
+def dissolve(lines: DataFrame, cell: float) -> DataFrame:
+    """Greedy dissolve of lines (fid, grid_code, parts, ..): the lowest fid absorbs what intersects it itself, then the next that is left.
+
+    Out: the attributes of each base, its members' number, and their parts together.
+    Two members' parts are not cut where they cross.
+    """
+    nodes = lines.select(F.col("fid").alias("id"), F.col("fid").alias("rank"))
+    base = independent_set(nodes, line_pairs(lines, cell)).select(F.col("id").alias("fid"), "base")
+    both = lines.join(base, "fid").groupBy("base").agg(F.count(F.lit(1)).alias("members"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("fid", "parts"))), lambda s: s["parts"])).alias("parts"))
+    return lines.drop("parts").join(both.withColumnRenamed("base", "fid"), "fid")
+
+
+def ept_scan(rows: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
+    """prefix, ok, xmin, ymin, xmax, ymax, hit of descriptors (prefix, json): one that can't be read is not ok and no hit."""
+    b = ept_bounds(F.col("json"))
+    out = rows.select("prefix", b.alias("b"))
+    hit = (F.col("b.xmin") <= xmax) & (F.col("b.xmax") >= xmin) & (F.col("b.ymin") <= ymax) & (F.col("b.ymax") >= ymin)
+    return out.select("prefix", F.col("b").isNotNull().alias("ok"), "b.xmin", "b.ymin", "b.xmax", "b.ymax", F.coalesce(hit, F.lit(False)).alias("hit"))
+
+
+def scan_matches(scan: DataFrame) -> DataFrame:
+    """The scan's matches: distinct prefixes in order."""
+    return scan.filter("hit").select("prefix").distinct().orderBy("prefix")

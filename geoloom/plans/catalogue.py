@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.plans import dataset_queries, kernel_queries, more_queries, network_queries, raster_queries  # noqa: F401
+from geoloom.plans import chain_queries, dataset_queries, kernel_queries, more_queries, network_queries, raster_queries  # noqa: F401
 from geoloom.plans.registry import QUERIES, SQL
 
 

@@ -178,9 +178,8 @@ def coco_categories(spark, d):
 select stem, split, row_number() over (partition by split order by md5('42:' || stem), stem) as id from s""")
 def coco_images(spark, d):
     split = labels.random_split(views.images(spark, d).select("stem").distinct(), 0.2, floor=True)
-    ranked = labels.global_rank(split.withColumn("o", labels.seeded(F.col("stem"), 42)), ["split", "o", "stem"])
-    starts = ranked.groupBy("split").agg((F.min("rank") - 1).alias("s"))
-    return ranked.join(F.broadcast(starts), "split").select("stem", "split", (F.col("rank") - F.col("s")).alias("id"))
+    out = labels.numbered(split.withColumn("o", labels.seeded(F.col("stem"), 42)), "split", ["o", "stem"])
+    return out.select("stem", "split", "id")
 
 
 @query(f"with {views.POLYGONS} select 'img_' || k as stem, coalesce(n, 0) as n_lines from (select unnest(range(0, 60)) as k) left join (select stem, count(*) as n from poly group by stem) on stem = 'img_' || k")
@@ -234,7 +233,7 @@ def mask_logits(spark, d):
 
 @query(f"{_PIX} select cls, y, count(*) as n from p group by cls, y having count(*) >= 2")
 def small_instances(spark, d):
-    return _pixels(spark, d).groupBy("cls", "y").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return detect.small_instances(_pixels(spark, d), ["cls", "y"], 2)
 
 
 @query("""select coalesce(region, '') as region, name, acct from (

@@ -66,23 +66,37 @@ def geotiff_roundtrip(spark, d):
     return readers.tile_pixels(readers.decode_tiles(blobs.select(F.regexp_replace("name", r"\.tif$", "").alias("stem"), "content"), 32))
 
 
-@query()
+@query(f"""with {views.PX}, t as (select raster_id, x // 32 as tx, y // 32 as ty, avg(cast(cast(v as real) as double)) as m from px group by all)
+select raster_id || '.tif_x' || tx || '_y' || ty as tile, case when m > 0 then 1 else 0 end as cls, round(m, 4) as conf from t""")
 def tile_inference(spark, d):
-    """A stand-in model (mean of a tile's pixels above a threshold) run once a worker over tiles."""
+    """A stand-in model (mean of a tile's pixels, told apart by sign) over tiles."""
     px = views.px(spark, d).select(F.col("raster_id").cast("string").alias("raster_id"), F.lit(1).alias("band"), "y", "x", "v")
     tiles = readers.decode_tiles(readers.pixels_to_tiff(px, [0.0, 1.0, 0.0, 0.0, 0.0, -1.0]).select("name", "content").withColumnRenamed("name", "stem"), 32)
 
     def load():
         def model(b):
-            means = [float(np.frombuffer(x, "<f4").mean()) for x in b["data"]]
-            return pd.DataFrame({"tile": [f"{r}_x{x}_y{y}" for r, x, y in zip(b.raster_id, b.tile_x, b.tile_y)], "cls": [int(m > 0) for m in means], "conf": means})
+            means = [float(np.frombuffer(x, "<f4").astype("float64").mean()) for x in b["data"]]
+            return pd.DataFrame({"tile": [f"{r}_x{x}_y{y}" for r, x, y in zip(b.raster_id, b.tile_x, b.tile_y)], "cls": [int(m > 0) for m in means], "conf": [round(m, 4) for m in means]})
 
         return model
 
     return masks.run_model(tiles, load, "tile string, cls int, conf double")
 
 
-@query()
+_LOGIT = "4 * (" + " + ".join(f"cast(embedding[{k + 1}] as double) * sin({k * 256} + {{y}} * 16 + {{x}})" for k in range(4)) + ")"
+
+
+def _tap(y: str, x: str) -> str:
+    return f"(1 / (1 + exp(-({_LOGIT.format(y=y, x=x)}))))"
+
+
+@query(f"""with d as (select vec_id as det, label as cls, embedding, greatest(0, cast(round_even(cast(embedding[1] as double) * 100 + 60, 0) as bigint)) as xa, least(160, cast(round_even(cast(embedding[1] as double) * 100 + 100, 0) as bigint)) as xb,
+  greatest(0, cast(round_even(cast(embedding[2] as double) * 100 + 60, 0) as bigint)) as ya, least(160, cast(round_even(cast(embedding[2] as double) * 100 + 100, 0) as bigint)) as yb from embeddings),
+r as (select det, cls, embedding, xa, xb, unnest(range(ya, yb)) as y from d where xb > xa and yb > ya), p as (select det, cls, embedding, y, unnest(range(xa, xb)) as x from r),
+q as (select *, greatest(0.0, least(15.0, (y + 0.5) * 16 / 160 - 0.5)) as sy, greatest(0.0, least(15.0, (x + 0.5) * 16 / 160 - 0.5)) as sx from p),
+f as (select *, floor(sy) as y0, floor(sx) as x0, least(15, floor(sy) + 1) as y1, least(15, floor(sx) + 1) as x1, sy - floor(sy) as fy, sx - floor(sx) as fx from q),
+u as (select det, cls, ({_tap('y0', 'x0')} * (1 - fy) + {_tap('y1', 'x0')} * fy) * (1 - fx) + ({_tap('y0', 'x1')} * (1 - fy) + {_tap('y1', 'x1')} * fy) * fx as v from f)
+select det, cls, count(*) as n from u where v > 0.5 group by det, cls having count(*) >= 100""")
 def mask_instances(spark, d):
     e = views.boxes(spark, d).join(views.table(spark, d, "embeddings").select(F.col("vec_id").alias("det"), F.slice("embedding", 1, 4).cast("array<double>").alias("coef")), "det")
     det = e.select("det", "cls", "conf", (F.col("x1") + 60).alias("x1"), (F.col("y1") + 60).alias("y1"), (F.col("x2") + 60).alias("x2"), (F.col("y2") + 60).alias("y2"), "coef")
@@ -120,7 +134,21 @@ def dataset_workflow(spark, d):
     return workflow.build_dataset(px, found, tiles).report
 
 
-@query()
+def _utm_sql() -> str:
+    """Easting and northing of lon, lat in the zone z, step by step."""
+    f = 1 / 298.257222101
+    n = f / (2 - f)
+    a = grid.RADIUS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    e = 2 * n**0.5 / (1 + n)
+    x = "eta" + "".join(f" + {c!r} * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, c in enumerate(grid.utm_inverse_series(), 1))
+    y = "xi" + "".join(f" + {c!r} * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, c in enumerate(grid.utm_inverse_series(), 1))
+    return f"""t0 as (select *, sinh(atanh(sin(radians(lat))) - {e!r} * atanh({e!r} * sin(radians(lat)))) as t, radians(lon - (z * 6 - 183)) as lam from pts),
+t1 as (select *, atan2(t, cos(lam)) as xi, atanh(sin(lam) / sqrt(1 + t * t)) as eta from t0),
+t2 as (select *, 500000 + {0.9996 * a!r} * ({x}) as easting, case when lat < 0 then 1e7 else 0 end + {0.9996 * a!r} * ({y}) as northing from t1)"""
+
+
+@query(f"""with pts as (select s_suppkey, s_acctbal / 60 as lon, s_nationkey * 2.5 - 30 as lat, cast(floor((s_acctbal / 60 + 180) / 6) as bigint) + 1 as z from supplier), {_utm_sql()}
+select s_suppkey, case when z between 1 and 60 then z + 26900 end as epsg, case when z between 1 and 60 then round(easting, 3) end as easting, case when z between 1 and 60 then round(northing, 3) end as northing from t2""")
 def reproject_points(spark, d):
     """Easting and northing of points in the zone of their longitude."""
     s = views.table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 60).alias("lon"), (F.col("s_nationkey") * 2.5 - 30).alias("lat"))

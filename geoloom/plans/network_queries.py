@@ -27,17 +27,44 @@ def dangle_prune_report(spark, d):
     return out.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("len"), 2).alias("total_len"))
 
 
-@query()
+def _bridges(src: str, p: str, rounds: int = 60) -> str:
+    """CTEs that end in {p}bridge (fid): a breadth-first forest, and the tree edges that no other edge spans.
+
+    Labels and distances go along all edges ``rounds`` times, which must be no less than the network's diameter.
+    """
+    return f"""{p}real as (select fid, u, v from {src} where u <> v), {p}adj as (select u as x, v as y, fid from {p}real union all select v, u, fid from {p}real),
+{p}near as (select distinct x, y from {p}adj union select x, x from {p}adj),
+{p}lab as (select 0 as k, x as node, min(x) as label from {p}near group by x union all select l.k + 1, n.x, min(l.label) from {p}lab l join {p}near n on n.y = l.node where l.k < {rounds} group by l.k + 1, n.x),
+{p}root as (select distinct label as node from {p}lab where k = {rounds}),
+{p}walk as (select node, 0 as dist from {p}root union select n.y, w.dist + 1 from {p}walk w join {p}near n on n.x = w.node where w.dist < {rounds}),
+{p}level as (select node, min(dist) as dist from {p}walk group by node),
+{p}parent as (select c.node, min(a.fid) as fid, arg_min(a.y, a.fid) as up from {p}level c join {p}adj a on a.x = c.node join {p}level b on b.node = a.y and b.dist = c.dist - 1 group by c.node),
+{p}above as (select node, node as anc from {p}level union all select s.node, t.up from {p}above s join {p}parent t on t.node = s.anc),
+{p}loose as (select fid, u as node from {p}real where fid not in (select fid from {p}parent) union all select fid, v from {p}real where fid not in (select fid from {p}parent)),
+{p}once as (select s.anc, l.fid from {p}loose l join {p}above s on s.node = l.node group by s.anc, l.fid having count(*) = 1),
+{p}bridge as (select fid from {p}parent where node not in (select anc from {p}once))"""
+
+
+def _purged(src: str, p: str) -> str:
+    return f"""{_bridges(src, p)}, {p}purged as (select e.*, case when e.u = e.v then 'SELF_LOOP' when b.fid is not null then 'BRIDGE_KEEP' else 'CYCLE_EDGE' end as code from {src} e left join {p}bridge b on b.fid = e.fid)"""
+
+
+@query(f"with recursive {views.EDGES}, {_bridges('edges', 'a_')} select fid from a_bridge")
 def bridges(spark, d):
     return network.bridges(views.edges(spark, d))
 
 
-@query()
+@query(f"with recursive {views.EDGES}, {_purged('edges', 'a_')} select fid, u, v, len, code, case when code = 'BRIDGE_KEEP' then 0 else 1 end as removed from a_purged")
 def loop_purge(spark, d):
     return network.loop_purge(views.edges(spark, d))
 
 
-@query()
+_FIRST = _PRUNE.format(src="edges", out="one", n=100000)
+_LAST = _PRUNE.replace("deg as", "deg2 as").replace("join deg ", "join deg2 ").format(src="looped", out="three", n=100000)
+
+
+@query(f"""with recursive {views.EDGES}, {_FIRST}, dangled as (select fid, u, v, len from one where code not like 'SHORT%'), {_purged('dangled', 'b_')},
+looped as (select fid, u, v, len from b_purged where code = 'BRIDGE_KEEP'), {_LAST} select fid, u, v, len from three where code not like 'SHORT%'""")
 def cleanup_chain(spark, d):
     return network.cleanup(views.edges(spark, d), 100000)
 

@@ -97,9 +97,7 @@ def terrain_stack(spark, d):
 
 @query(f"with {views.PX}, src as (select *, v as f from px), {views.GRADIENTS} select raster_id, y, x, round(degrees(atan(sqrt(dx * dx + dy * dy) / 800)), 6) as slope from grad")
 def slope(spark, d):
-    g = raster.gradients(views.px(spark, d))
-    s = F.degrees(F.atan(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / 800))
-    return g.select("raster_id", "y", "x", F.round(s, 6).alias("slope"))
+    return raster.slope(views.px(spark, d), 100).withColumn("slope", F.round("slope", 6))
 
 
 def _square(f: str, r: int, src: str, out: str) -> str:
@@ -161,9 +159,11 @@ def point_grid_max(spark, d):
 
 
 @query("""with c as (select cast(floor(event_id / 500.0) as bigint) as y, cast(floor(user_id / 25.0) as bigint) as x, max(value) as z from events group by 1, 2),
-g as (select i // 12 as y, i % 12 as x from (select unnest(range(0, 240)) as i)) select g.y, g.x, coalesce(c.z, -9999.0) as z from g left join c on g.y = c.y and g.x = c.x""")
+n as (select max(y) + 1 as h, max(x) + 1 as w from c), g as (select i // w as y, i % w as x from (select w, unnest(range(0, h * w)) as i from n)) select g.y, g.x, coalesce(c.z, -9999.0) as z from g left join c on g.y = c.y and g.x = c.x""")
 def point_grid_fill(spark, d):
-    return raster.fill_grid(point_grid_max(spark, d).select("y", "x", "z"), 20, 12)
+    cells = point_grid_max(spark, d).select("y", "x", "z")
+    size = cells.agg(F.max("y") + 1, F.max("x") + 1).first()  # the template covers all points
+    return raster.fill_grid(cells, *size)
 
 
 _COLOR = color.sql_elevation("v", "lo", "hi", "linsar")
@@ -181,8 +181,8 @@ def color_ramp(spark, d):
 @query(f"with {views.PX}, c as (select raster_id, y, x, (v + 600) / 1200 as r, 0.5 as g, (x + 0.5) / 64 as b, (y % 10) / 9.0 as shade from px) select raster_id, y, x, {color.sql_blend('r', 'g', 'b', 'shade', 1.5)} from c")
 def shaded_rgb(spark, d):
     px = views.px(spark, d).select("raster_id", "y", "x", ((F.col("v") + 600) / 1200).alias("r"), F.lit(0.5).alias("g"), ((F.col("x") + 0.5) / 64).alias("b"), ((F.col("y") % 10) / F.lit(9.0)).alias("shade"))
-    out = color.lab_blend(F.col("r"), F.col("g"), F.col("b"), F.col("shade"), 1.5)
-    return px.select("raster_id", "y", "x", *[F.round(c, 4).alias(n) for c, n in zip(out, ("out_r", "out_g", "out_b"))])
+    out = color.blended(px, ("r", "g", "b"), "shade", 1.5)
+    return out.select("raster_id", "y", "x", *[F.round(c, 4).alias(f"out_{c}") for c in "rgb"])
 
 
 @query("""with s as (select p_partkey, 1500 + p_size * 40 as w, 900 + p_size * 25 as h from part),
@@ -253,5 +253,4 @@ def raster_info(spark, d):
 
 @query(f"with {views.PX} select raster_id, cast(floor(v / 100) * 100 as bigint) as bin, count(*) as n, round(avg(v), 6) as mean from px group by raster_id, floor(v / 100)")
 def class_hist(spark, d):
-    b = (F.floor(F.col("v") / 100) * 100).alias("bin")
-    return views.px(spark, d).groupBy("raster_id", b).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+    return raster.class_histogram(views.px(spark, d), F.floor(F.col("v") / 100) * 100, F.col("v")).withColumn("mean", F.round("mean", 6))

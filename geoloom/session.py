@@ -64,6 +64,18 @@ def free(*tables: DataFrame) -> None:
     _scratch = kept
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Arrow batches hold ``rows`` rows at most, unless the session asks for fewer.
+
+    For operators that send whole texts to Python workers: a batch is held by
+    the JVM and by the worker, for each task that an executor runs.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    known = int(spark.conf.get(key, "10000"))
+    if known <= 0 or known > rows:
+        spark.conf.set(key, str(rows))
+
+
 @atexit.register
 def _clear() -> None:
     for fs, path in _scratch:

@@ -105,3 +105,27 @@ def test_components_that_have_not_converged_are_an_error(spark):
     with pytest.raises(RuntimeError, match="not converged"):
         connected_components(chain, most_rounds=2)
     assert {r.root for r in connected_components(chain).collect()} == {0}
+
+
+def test_few_tables_for_rings_and_chains(spark, monkeypatch):
+    """Scratch tables of a ring's bridges and of a chain of conflicts, short and long."""
+    made = []
+    real = network.stored
+    monkeypatch.setattr(network, "stored", lambda df, name: made.append(name) or real(df, name))
+    counts = []
+    for n in (40, 4000):
+        made.clear()
+        ring = spark.createDataFrame([(i, i, (i + 1) % n, 1.0) for i in range(n)] + [(n, 0, n, 1.0)], "fid long, u long, v long, len double")
+        assert [r.fid for r in network.bridges(ring).collect()] == [n]
+        chain = network.independent_set(spark.createDataFrame([(i, float(i)) for i in range(n)], "id long, rank double"), spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long"))
+        assert sorted(r.id for r in chain.filter("kept").collect()) == list(range(0, n, 2))
+        counts.append(len(made))
+    assert counts[1] <= 4 * max(1, counts[0])
+
+
+def test_rounds_equal_the_walk(spark):
+    rng = random.Random(3)
+    nodes = spark.createDataFrame([(i, float(rng.randrange(9))) for i in range(30)], "id long, rank double")
+    pairs = spark.createDataFrame(sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(45)}), "a long, b long")
+    walked, rounds = (sorted(map(tuple, network.independent_set(nodes, pairs, most).collect())) for most in (10**6, 2))
+    assert walked == rounds
