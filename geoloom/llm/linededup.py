@@ -2,11 +2,12 @@
 
 A line's words (parted by single spaces) with a digit are variable fields, ``<*>``. The
 fixed-depth tree leads a line by its number of words and its first DEPTH words to a
-leaf. A leaf holds the templates of its lines as they stand, and one generalised
-template of the lines whose own template is not recurring: a place keeps the
-word that at least half of them share (by documents; ties: the greatest word) and
-is a variable field else. It counts if at least half of its places, and DEPTH + 1,
-are kept, and takes the lines that agree with SIMILARITY of the kept places.
+leaf. A leaf holds the templates of its lines as they stand, and any number of
+generalised ones, of the lines whose own template is not recurring: a place keeps
+its word if the leaf's lines have that word at that place in MIN_DOCS documents or
+more, and is a variable field else. Lines that keep the same words at the same
+places have one template; it counts if at least half of the places, and DEPTH + 1,
+are kept.
 
 A template recurs if its lines stand in MIN_DOCS documents or more. All lines of
 recurring templates are dropped but each one's first (smallest doc_id, then line
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from geoloom.session import stored
 
-DEPTH, MIN_WORDS, MIN_DOCS, SIMILARITY = 3, 3, 5, 0.8
+DEPTH, MIN_WORDS, MIN_DOCS = 3, 3, 5
 KEY = "xxhash64(doc_id, text)"
 #: Rows of templates (of up to 48 bytes) up to which they are broadcast to their lines; more are joined by shuffle.
 BROADCAST_TEMPLATES = 1_000_000
@@ -63,17 +64,15 @@ def recurring_templates(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_D
     # one line of each such template, read again: only few lines' words are ever moved
     words = tree_lines(docs, words=True).join(rest, ["leaf", "tmpl"]).groupBy("leaf", "tmpl", "docs", "weight").agg(F.min("words").alias("words"))
     words = stored(words, "words")
-    votes = words.select("leaf", "docs", "weight", F.posexplode("words").alias("place", "word"))
-    votes = votes.groupBy("leaf", "place", "weight", "word").agg(F.sum("docs").alias("votes"))
-    kept = votes.groupBy("leaf", "place", "weight").agg(F.max(F.struct("votes", "word")).alias("top"))
-    kept = kept.filter(F.col("top.votes") * 2 >= F.col("weight"))
-    kept = kept.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", F.col("top.word").alias("word")))).alias("kept"))
-    agree = "size(filter(kept, c -> element_at(words, c.place + 1) = c.word))"
-    close = words.join(kept, "leaf").filter(f"size(kept) * 2 >= size(words) and size(kept) > {DEPTH} and {agree} >= {SIMILARITY} * size(kept)").select("leaf", "tmpl")
-    close = stored(close, "close")
-    enough = pairs.join(close, ["leaf", "tmpl"]).select("leaf", "k").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
-    general = close.join(enough.select("leaf"), "leaf").select("leaf", "tmpl", F.xxhash64("leaf", F.lit("general")).alias("grp"))
-    return exact.unionByName(general)
+    # the words that a place keeps: their hash tells a line's template, so no leaf's lines are ever gathered
+    votes = words.select("leaf", "tmpl", "docs", F.size("words").alias("n"), F.posexplode("words").alias("place", "word"))
+    frequent = votes.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("votes")).filter(F.col("votes") >= min_docs).select("leaf", "place", "word")
+    kept = votes.join(frequent, ["leaf", "place", "word"]).groupBy("leaf", "tmpl", "n")
+    kept = kept.agg(F.count(F.lit(1)).alias("kept"), F.bit_xor(F.xxhash64("place", "word")).alias("same"))
+    close = kept.filter((F.col("kept") * 2 >= F.col("n")) & (F.col("kept") > DEPTH))
+    close = stored(close.select("leaf", "tmpl", F.xxhash64("leaf", F.lit("general"), "same").alias("grp")), "close")
+    enough = pairs.join(_small(close), ["leaf", "tmpl"]).select("grp", "k").distinct().groupBy("grp").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
+    return exact.unionByName(close.join(enough.select("grp"), "grp").select("leaf", "tmpl", "grp"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -87,16 +86,27 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return lost.groupBy("k").agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
 
 
+def count_names(columns: list[str]) -> tuple[str, str]:
+    """Names of the two counts: __n_lines and __n_dropped, with underscores added where docs has such a column."""
+    out = []
+    for name in ("__n_lines", "__n_dropped"):
+        while name in columns:
+            name += "_"
+        out.append(name)
+    return out[0], out[1]
+
+
 def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All columns of docs with the kept lines as ``text``, and n_lines, n_dropped."""
+    """All columns of docs with the kept lines as ``text``, and two counts (see ``count_names``)."""
     names = docs.columns
+    n_lines, n_dropped = count_names(names)
     row = docs.select(F.struct(*names).alias("row"), F.expr(KEY).alias("k"), F.col("text").alias("text"))
     out = row.join(dropped_lines(docs, min_docs), "k", "left")
     parts = F.split("text", "\n")
     keep = F.expr(r"array_join(filter(split(text, '\n'), (x, i) -> not array_contains(drop, i)), '\n')")
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(keep)
     columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names]
-    return out.select(*columns, F.coalesce(F.size(parts), F.lit(0)).alias("__n_lines"), F.coalesce(F.size("drop"), F.lit(0)).alias("__n_dropped"))
+    return out.select(*columns, F.coalesce(F.size(parts), F.lit(0)).alias(n_lines), F.coalesce(F.size("drop"), F.lit(0)).alias(n_dropped))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,23 +133,20 @@ with rows as (
   select *, sum(docs) over (partition by leaf) as weight, count(*) over (partition by leaf) as n from templates where docs < {MIN_DOCS}
 ), cand as (
   select * from rest where n > 1 and weight >= {MIN_DOCS}
-), votes as (
-  select leaf, place, weight, words[place] as word, sum(docs) as votes
-  from (select leaf, words, docs, weight, unnest(range(1, len(words) + 1)) as place from cand) group by leaf, place, weight, words[place]
-), kept as (
-  select leaf, place, word from (select *, row_number() over (partition by leaf, place order by votes desc, word desc) as r from votes)
-  where r = 1 and votes * 2 >= weight
-), score as (
-  select c.leaf, c.tmpl, len(any_value(c.words)) as n, count(*) as kept, count(*) filter (where c.words[k.place] = k.word) as same
-  from cand c join kept k on c.leaf = k.leaf group by c.leaf, c.tmpl
+), places as (
+  select leaf, tmpl, docs, len(words) as n, words, unnest(range(1, len(words) + 1)) as place from cand
+), frequent as (
+  select leaf, place, words[place] as word from places group by leaf, place, words[place] having sum(docs) >= {MIN_DOCS}
 ), near as (
-  select leaf, tmpl from score where kept * 2 >= n and kept > {DEPTH} and same >= {SIMILARITY} * kept
+  select p.leaf, p.tmpl, concat('general ', p.leaf, chr(10), string_agg(concat(p.place, ' ', f.word), chr(10) order by p.place)) as grp
+  from places p join frequent f on p.leaf = f.leaf and p.place = f.place and p.words[p.place] = f.word
+  group by p.leaf, p.tmpl having count(*) * 2 >= any_value(p.n) and count(*) > {DEPTH}
 ), enough as (
-  select t.leaf from tree t join near c on t.leaf = c.leaf and t.tmpl = c.tmpl group by t.leaf having count(distinct t.doc_id) >= {MIN_DOCS}
+  select c.grp from tree t join near c on t.leaf = c.leaf and t.tmpl = c.tmpl group by c.grp having count(distinct t.doc_id) >= {MIN_DOCS}
 ), recurring as (
   select leaf, tmpl, concat('exact ', tmpl) as grp from templates where docs >= {MIN_DOCS}
   union all
-  select leaf, tmpl, concat('general ', leaf) as grp from near where leaf in (select leaf from enough)
+  select leaf, tmpl, grp from near where grp in (select grp from enough)
 ), hits as (
   select t.doc_id, t.line_no, row_number() over (partition by grp order by t.doc_id, t.line_no) as r
   from tree t join recurring c on t.leaf = c.leaf and t.tmpl = c.tmpl
