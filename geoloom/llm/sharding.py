@@ -14,14 +14,15 @@ once added, takes rows only into itself.
 Null keys hash like a key of their own; a null text has size 8 and the crc of
 the empty text; equal rows are told apart by a copy number, so that even a
 third of all rows being one row spread over the buckets of its shard. An empty
-table gives an empty result. Other columns go along, whatever their names.
+table gives an empty result. Other columns go along, whatever their names; maps
+whose entries are listed in another order are not equal.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, MapType, StructField, StructType
 from pyspark.sql.window import Window
 
 from geoloom.session import scratch_path, stored
@@ -47,18 +48,22 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(8)
 
 
-def shuffle_buckets(df: DataFrame, shard: str, bucket: str, order: list[str], seed: int) -> DataFrame:
+def shuffle_buckets(df: DataFrame, shard: str, bucket: str, order: list[str], seed: int, n_shards: int) -> DataFrame:
     """Fisher-Yates order within every (shard, bucket): adds ``slot``, gapless from 0 in a shard.
 
     The places of a bucket's rows are shuffled, and its rows, sorted by ``order``,
     take them; so rows are only ever sorted, which spills, and never gathered. The
     shuffled places are stored, so a task that runs again gives the same slots.
+    They are made with a partition for each shard, numbered like it, in order of
+    buckets: what Spark's generator is seeded with is the shard, at any number of
+    shuffle partitions.
     """
     keys = [shard, bucket]
     rest = [c for c in df.columns if c not in keys]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")).sortWithinPartitions(*keys)
+    offsets = counts.select(*keys, "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    offsets = offsets.repartitionById(n_shards, F.col(shard)).sortWithinPartitions(bucket)
     places = F.shuffle(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int")), F.lit(seed))
     places = stored(offsets.select(*keys, "__offset", places.alias("__places")), "places")
     rows = df.withColumn("__pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -82,16 +87,26 @@ def number_copies(rows: DataFrame, repeated: DataFrame) -> DataFrame:
     return single.union(many.select("row", "h", F.explode(F.expr(f"sequence(first, least(n, first + {COPIES - 1}))")).alias("copy")))
 
 
+def _packed(docs: DataFrame) -> list[Column]:
+    """Columns of docs, maps as lists of entries: those can be hashed and compared."""
+    return [F.map_entries(f.name).alias(f.name) if isinstance(f.dataType, MapType) else F.col(f.name) for f in docs.schema]
+
+
+def _unpacked(docs: DataFrame) -> Column:
+    """The row of docs, of its packed columns."""
+    return F.struct(*[(F.map_from_entries(F.col("row")[f.name]) if isinstance(f.dataType, MapType) else F.col("row")[f.name]).alias(f.name) for f in docs.schema])
+
+
 def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
     """Whole rows, shuffled, as Parquet (slot, row) under ``path/shard=S``, in the order of their slots within a file."""
-    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("h", F.xxhash64("row"))
+    rows = docs.select(F.struct(*_packed(docs)).alias("row")).withColumn("h", F.xxhash64("row"))
     hashes = stored(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(text_size(F.col("row.text"))).alias("size")), "hashes")
     total = hashes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // (n_shards * bucket_bytes)))
     rows = number_copies(rows, hashes.filter("n > 1").select("h"))
     bucket = F.pmod(F.xxhash64("h", "copy", F.lit(seed + 1)), F.lit(buckets)).cast("int")
     rows = rows.select(shard_of(F.col("row.doc_id"), n_shards, seed).alias("shard"), bucket.alias("bucket"), "h", "copy", "row")
-    out = shuffle_buckets(rows, "shard", "bucket", ["h", "copy"], seed).select("shard", "slot", "row")
+    out = shuffle_buckets(rows, "shard", "bucket", ["h", "copy"], seed, n_shards).select("shard", "slot", _unpacked(docs).alias("row"))
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

@@ -84,3 +84,22 @@ def test_written_copies_spread_over_buckets(spark, tmp_path, monkeypatch):
     assert Counter(map(tuple, back.select("row.doc_id", "row.text").collect())) == Counter(rows)
     largest = seen[0].filter("row.doc_id = 7").groupBy("shard", "bucket").count().agg(F.max("count")).first()[0]
     assert largest < 2500 / 4
+
+
+def test_slots_are_the_same_at_any_number_of_shuffle_partitions(spark):
+    rows = [(i, "é" * (i % 50)) for i in range(900)] + [(7, "same")] * 300
+    key, got = "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(key)
+    for n in ("3", "7"):
+        spark.conf.set(key, n)
+        got.append(sorted(map(tuple, sharding.shard_rows(frame(spark, rows), 5, bucket_bytes=700).collect())))
+    spark.conf.set(key, before)
+    assert got[0] == got[1]
+
+
+def test_maps_are_written(spark, tmp_path):
+    rows = [(i, str(i), {"a": i, "b": 2}) for i in range(40)] + [(3, "3", {"a": 3, "b": 2})] * 2 + [(50, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    sharding.write_shards(df, f"file://{tmp_path}/out", 3, bucket_bytes=100)
+    back = spark.read.parquet(f"file://{tmp_path}/out").select("row.*")
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect())) and back.dtypes == df.dtypes
