@@ -34,6 +34,15 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 def load_tokenizer(definition: str):
+    """The library's tokenizer; refuses a definition that cuts texts in another way than PATTERN, or changes them first."""
+    import json
+
+    spec = json.loads(definition)
+    cut = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        raise ValueError("only byte-level tokenizers with the usual pattern, without normalizer or added space, are covered")
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in spec.get("added_tokens") or []):
+        raise ValueError("only plain special strings are covered")
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 

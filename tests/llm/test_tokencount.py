@@ -31,3 +31,10 @@ def test_query_over_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     got = {r.doc_id: r.n_tokens for r in tokencount.op1_token_counts(spark, sf_dir).collect()}
     assert [got[d.doc_id] for d in docs] == expected([d.text for d in docs])
+
+
+def test_other_kinds_of_tokenizer_are_refused():
+    import pytest
+
+    with pytest.raises(ValueError):
+        tokencount.load_tokenizer(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
