@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from geoloom.llm.shingles import shingle_sets
 from geoloom.llm.wordhash import mix
 from geoloom.operators.components import connected_components
-from geoloom.session import free, stored
+from geoloom.session import bound_batches, free, stored
 
 #: Words of a shingle, and least similarity in hundredths: the pipeline's, and the contract's.
 WORDS, PERCENT = 5, 80
@@ -196,6 +196,7 @@ def set_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 arrays = [b.column("doc_id").slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(need, pa.int32()), _lists(keys)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "node", "need", "keys"])
 
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long"), "text")
     return slim.mapInArrow(run, "doc_id long, n long, node long, need int, keys array<long>")
 
@@ -211,6 +212,7 @@ def node_sets(docs: DataFrame, words: int) -> DataFrame:
                 arrays = [pa.array([k for k, _ in found], pa.int64()), _lists([s for _, s in found])]
                 yield pa.RecordBatch.from_arrays(arrays, ["node", "shingles"])
 
+    bound_batches(docs.sparkSession)
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 

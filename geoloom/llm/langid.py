@@ -23,13 +23,15 @@ repeated rows agree; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.session import stored
+from geoloom.session import bound_batches, stored
 
 UNDETERMINED = "und"
 #: Rows of each language that are sampled for its dictionary at most.
@@ -49,11 +51,16 @@ LENGTHS = (32, 48, 64, 96, 128, 192, 256, 384, 512, 768, BLOCK_CHARS)
 TAIL, SLACK = 0.01, 1.05
 #: Windows that a limit takes at least; encodings of one length that are tried at most, about.
 LEAST_WINDOWS, ENCODINGS = 20, 20_000
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: All but letters (Unicode categories L*): of what ``\\w`` takes, numerals and the underscore are none.
+_NUMERALS = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and unicodedata.category(c)[0] == "N"]
+NOT_LETTERS = re.compile(r"[\W\d_" + "".join(c for c in _NUMERALS if c <= "\uffff") + "]+")
+#: Numerals beyond the basic plane, which would slow the other pattern down, and what tells that a text may have some.
+RARE_NUMERALS, RARE = re.compile("[" + "".join(c for c in _NUMERALS if c > "\uffff") + "]"), re.compile("[\U00010000-\U0010ffff]")
 
 
 def normalise(text: str) -> str:
-    return NOT_LETTERS.sub(" ", text.lower())
+    text = text.lower()
+    return NOT_LETTERS.sub(" ", RARE_NUMERALS.sub(" ", text) if RARE.search(text) else text)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -169,6 +176,7 @@ class Classifier:
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """doc_id, lang_pred, score, margin, rejected for every row of docs."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +201,7 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
 
 def drop_rejected(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """The rows of docs that are not rejected, with all their columns and in one pass: nothing is joined."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

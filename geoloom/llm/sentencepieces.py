@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.session import bound_batches
+
 SPACE = "▁"
 #: Entries of a worker's cache of units, and of its cache of pairs of pieces; when one is full, half of it goes.
 CACHE_ENTRIES, PAIR_ENTRIES = 400_000, 500_000
@@ -217,15 +219,12 @@ class Codec:
         rest = self.lattice(unit[marks - 1 :]) if len(unit) > marks else []
         joined = bool(rest) and rest[0] != OUTSIDE and self.piece[rest[0]] != SPACE
         run = marks - 1 if joined else marks
-        lengths = sorted((len(p) for p in self.id if not p.strip(SPACE)), reverse=True)
-        s: list[int] = [1] * run
-        known, k = set(lengths), 0
-        while k + 1 < len(s):  # scores tie: the leftmost pair that is a piece is merged first
-            if s[k] + s[k + 1] in known:
-                s[k : k + 2] = [s[k] + s[k + 1]]
-                k = 0
-            else:
-                k += 1
+        known = {len(p) for p in self.id if not p.strip(SPACE)}
+        s: list[int] = []
+        for _ in range(run):  # scores tie: the leftmost pair that is a piece is merged first, so only the last two ever change
+            s.append(1)
+            while len(s) > 1 and s[-2] + s[-1] in known:
+                s[-2:] = [s[-2] + s[-1]]
         return [self.id[SPACE * n] for n in s] + (rest if joined else rest[1:])
 
     def _cached(self, cache: dict[str, bytes], keys: list[str], prefix: str) -> list[bytes]:
@@ -280,6 +279,7 @@ SCHEMA = "doc_id long, n_tokens int, ids array<int>, decoded_crc32 long, lossles
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids of every whole text, and what decoding them gives back."""
+    bound_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
