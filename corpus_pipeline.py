@@ -26,7 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go but for their first; so do documents that keep no word."""
     out = linededup.drop_repeated_lines(docs)
-    out = out.filter((F.col("__n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    n_dropped = linededup.count_names(docs.columns)[1]
+    out = out.filter((F.col(n_dropped) == 0) | F.col("text").rlike(r"\S"))
     columns = [F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*columns)
 
