@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.grid import bbox_meets
 from geoloom.operators.network import independent_set
+from geoloom.session import free, stored
 
 # Names of diagnostic fields of earlier passes, matched without case.
 DIAGNOSTIC_PREFIXES = ("lp_", "loop_")
@@ -68,18 +69,49 @@ def schema_consensus(files: DataFrame) -> DataFrame:
 
 #: A box takes cells of the finest of these sizes (in times the cell) that is no smaller than a LEVEL_STEP-th of it.
 LEVEL_STEP, LEVELS = 8, 12
+#: Rows of a side that meet in one task; a fuller cell is dealt into blocks of about so many rows of either side.
+BLOCK = 2000
 
 
-def _cells(df: DataFrame, cell: float) -> DataFrame:
-    """df with the grid cells (__level, __cx, __cy) that each box meets; __home: cells of its own size.
+def _own_level(cell: float) -> Column:
+    edge = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(0.0))
+    return F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.ceil(F.log(F.greatest(edge / (cell * LEVEL_STEP), F.lit(1.0))) / F.log(F.lit(float(LEVEL_STEP))) - 1e-9))).cast("int")
+
+
+def _own_levels(df: DataFrame, cell: float) -> list[int]:
+    """The levels that boxes have, LEVELS at most."""
+    return sorted(df.agg(F.collect_set(_own_level(cell))).first()[0])
+
+
+def _meetings(mine: list[int], others: list[int], left: bool) -> Column:
+    """Where a box of level __own is laid out: (level, way), only where the other side has boxes to meet.
+
+    Two boxes meet at the level of the larger one: by way 0 if the right one is of that
+    level, by way 1 if the left one alone is. So small boxes never meet at a coarse level.
+    """
+    out = F.array().cast("array<struct<level:int,way:int>>")
+    for o in mine:
+        coarser = [x for x in others if x > o]
+        if left:
+            found = [(o, 0)] * (o in others) + [(o, 1)] * any(x < o for x in others) + [(x, 0) for x in coarser]
+        else:
+            found = [(o, 0)] * any(x <= o for x in others) + [(x, 1) for x in coarser]
+        if found:
+            out = F.when(F.col("__own") == o, F.array(*[F.struct(F.lit(x).alias("level"), F.lit(k).alias("way")) for x, k in found])).otherwise(out)
+    return out
+
+
+def _cells(df: DataFrame, cell: float, meetings: Column | None = None) -> DataFrame:
+    """df with the grid cells (__level, __way, __cx, __cy) that each box meets; by default at all levels from its own.
 
     A box of any size takes at most (LEVEL_STEP + 2) ** 2 cells of its own level, and
-    a few of each coarser one: two boxes meet at the level of the larger of them.
+    a few of each coarser one.
     """
-    edge = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(0.0))
-    own = F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.ceil(F.log(F.greatest(edge / (cell * LEVEL_STEP), F.lit(1.0))) / F.log(F.lit(float(LEVEL_STEP))) - 1e-9))).cast("int")
-    out = df.withColumn("__own", own).withColumn("__level", F.explode(F.sequence(F.col("__own"), F.lit(LEVELS - 1)))).withColumn("__home", F.col("__level") == F.col("__own")).drop("__own")
-    size = cell * F.pow(F.lit(float(LEVEL_STEP)), F.col("__level"))
+    if meetings is None:
+        meetings = F.transform(F.sequence(F.col("__own"), F.lit(LEVELS - 1)), lambda x: F.struct(x.alias("level"), F.lit(0).alias("way")))
+    out = df.withColumn("__own", _own_level(cell)).withColumn("__m", F.explode(meetings))
+    out = out.withColumn("__level", F.col("__m.level")).withColumn("__way", F.col("__m.way")).drop("__own", "__m")
+    size = _level_size(cell)
     spans = [F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)) for a, b in (("x1", "x2"), ("y1", "y2"))]
     return out.withColumn("__cx", F.explode(spans[0])).withColumn("__cy", F.explode(spans[1]))
 
@@ -88,21 +120,48 @@ def _level_size(cell: float) -> Column:
     return cell * F.pow(F.lit(float(LEVEL_STEP)), F.col("__level"))
 
 
-def bbox_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """Pairs of closed boxes (x1, y1, x2, y2) that meet: an equi-join on grid cells, refined.
+def _blocks(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the rows of full cells dealt into blocks (__i of the left, __j of the right), and the keys to join by.
+
+    A row goes to its own block of its side with every block of the other: for two
+    sides of n and m rows that is 2 * n * m / BLOCK rows for n * m pairs.
+    """
+    both = left.select(*keys, F.lit(1).alias("__n"), F.lit(0).alias("__m")).union(right.select(*keys, F.lit(0), F.lit(1)))
+    count = both.groupBy(*keys).agg(F.sum("__n").alias("__n"), F.sum("__m").alias("__m")).filter((F.least("__n", "__m") > 0) & (F.greatest("__n", "__m") > BLOCK))
+    full = stored(count.select(*keys, F.ceil(F.col("__n") / BLOCK).alias("__ni"), F.ceil(F.col("__m") / BLOCK).alias("__nj")), "full")
+    n_blocks = full.agg(F.sum(F.col("__ni") * F.col("__nj"))).first()[0]
+    if not n_blocks:
+        free(full)
+        return left, right, keys
+    n = min(20_000, max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_blocks // 4))
+    dealt = []
+    for side, (mine, of), (other, others) in ((left, ("__i", "__ni"), ("__j", "__nj")), (right, ("__j", "__nj"), ("__i", "__ni"))):
+        digest = F.xxhash64(*[c for c, t in side.dtypes if "map<" not in t])
+        out = side.join(full, keys, "left").withColumn(mine, F.pmod(digest, F.coalesce(of, F.lit(1))))
+        out = out.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(others, F.lit(1)) - 1))).drop("__ni", "__nj")
+        dealt.append(out.repartition(n, *keys, "__i", "__j"))
+    return *dealt, [*keys, "__i", "__j"]
+
+
+def bbox_join(left: DataFrame, right: DataFrame, cell: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of closed boxes (x1, y1, x2, y2) that meet, of equal columns ``on`` (nulls are equal): an equi-join on grid cells, refined.
 
     A pair is reported in one cell only, that of its overlap's lower corner, so
-    nothing needs to be made distinct. Output: all other columns of both sides.
+    nothing needs to be made distinct. Output: all other columns of both sides, ``on`` once.
     """
     names = {c: f"__r_{c}" for c in ("x1", "y1", "x2", "y2")}
-    r = _cells(right, cell).withColumnRenamed("__home", "__r_home")
+    levels = [_own_levels(df, cell) for df in (left, right)]
+    l, r = _cells(left, cell, _meetings(*levels, True)), _cells(right, cell, _meetings(*levels[::-1], False))
+    keys = ["__level", "__way", "__cx", "__cy"]
+    if on:  # as a struct, whose nulls are equal
+        l, r, keys = l.withColumn("__on", F.struct(*on)), r.withColumn("__on", F.struct(*on)).drop(*on), ["__on", *keys]
     for a, b in names.items():
         r = r.withColumnRenamed(a, b)
-    both = _cells(left, cell).join(r, ["__level", "__cx", "__cy"]).filter("__home or __r_home")
-    both = both.filter(bbox_meets(("x1", "y1", "x2", "y2"), tuple(names.values())))
+    l, r, keys = _blocks(l, r, keys)
+    both = l.join(r, keys).filter(bbox_meets(("x1", "y1", "x2", "y2"), tuple(names.values())))
     size = _level_size(cell)
     once = (F.floor(F.greatest("x1", "__r_x1") / size) == F.col("__cx")) & (F.floor(F.greatest("y1", "__r_y1") / size) == F.col("__cy"))
-    return both.filter(once).drop("__level", "__cx", "__cy", "__home", "__r_home", "x1", "y1", "x2", "y2", *names.values())
+    return both.filter(once).drop(*keys, "x1", "y1", "x2", "y2", *names.values())
 
 
 def overlap_conflicts(boxes: DataFrame, threshold: float, cell: float) -> DataFrame:

@@ -1,6 +1,8 @@
 """Formats that were read wrongly, windows, logs, settings, and operators that no query reaches."""
 
 import json
+import random
+import time
 
 import numpy as np
 import pytest
@@ -166,6 +168,37 @@ def test_huge_and_tiny_boxes_meet_once(spark):
     assert vector._cells(df, 2.0).count() < 1000
 
 
+def random_boxes(seed, n, key, most=400.0):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        x, y, w, h = rng.uniform(-200, 200), rng.uniform(-200, 200), *(rng.choice([0.0, 0.5, 3.0, 40.0, most]) for _ in range(2))
+        out.append((i, rng.choice([None, 1, 2]), round(x), round(y), round(x) + w, round(y) + h))
+    return [(i, g, float(a), float(b), float(c), float(d)) for i, g, a, b, c, d in out], f"{key} int, g int, x1 double, y1 double, x2 double, y2 double"
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_boxes_of_mixed_sizes_meet_once_in_cells_and_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(vector, "BLOCK", block, raising=False)
+    (a, s), (b, t) = random_boxes(1, 90, "k"), random_boxes(2, 70, "j", most=1e5)
+    meets = [(p, q) for p in a for q in b if p[2] <= q[4] and q[2] <= p[4] and p[3] <= q[5] and q[3] <= p[5]]
+    left, right = spark.createDataFrame(a, s), spark.createDataFrame(b, t)
+    assert sorted((r.k, r.j) for r in vector.bbox_join(left, right.drop("g"), 2.0).collect()) == sorted((p[0], q[0]) for p, q in meets)
+    got = vector.bbox_join(left, right, 2.0, on=("g",))
+    assert sorted(got.columns) == ["g", "j", "k"]
+    assert sorted((r.k, r.j) for r in got.collect()) == sorted((p[0], q[0]) for p, q in meets if p[1] == q[1])
+    assert vector.bbox_join(left, right.drop("g").limit(0), 2.0).count() == 0
+
+
+def test_many_boxes_far_apart_are_not_paired(spark):
+    """No pair of small boxes is looked at in the coarse cells that they share."""
+    began = time.monotonic()
+    k = F.col("id")
+    a = spark.range(30_000).select(k, (k * 3.0).alias("x1"), F.lit(1.0).alias("y1"), (k * 3.0 + 1).alias("x2"), F.lit(2.0).alias("y2"))
+    assert vector.bbox_join(a, a.withColumnRenamed("id", "j"), 2.0).count() == 30_000
+    assert time.monotonic() - began < 60
+
+
 def test_solid_render(spark):
     px = spark.createDataFrame([("r", y, x, 5.0 + x) for y in range(6) for x in range(6)], "raster_id string, y int, x int, v double")
     rows = raster.render(px, 1.0).collect()
