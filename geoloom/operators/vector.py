@@ -149,19 +149,19 @@ def bbox_join(left: DataFrame, right: DataFrame, cell: float, on: tuple[str, ...
     A pair is reported in one cell only, that of its overlap's lower corner, so
     nothing needs to be made distinct. Output: all other columns of both sides, ``on`` once.
     """
-    names = {c: f"__r_{c}" for c in ("x1", "y1", "x2", "y2")}
+    names = {c: f"__r_{c}" for c in ("x1", "y1", "x2", "y2", "__fx", "__fy")}
     levels = [_own_levels(df, cell) for df in (left, right)]
-    l, r = _cells(left, cell, _meetings(*levels, True)), _cells(right, cell, _meetings(*levels[::-1], False))
+    first = {f"__f{c}": F.floor(F.col(f"{c}1") / _level_size(cell)) for c in ("x", "y")}  # the lower corner's cell
+    l, r = _cells(left, cell, _meetings(*levels, True)).withColumns(first), _cells(right, cell, _meetings(*levels[::-1], False)).withColumns(first)
     keys = ["__level", "__way", "__cx", "__cy"]
     if on:  # as a struct, whose nulls are equal
         l, r, keys = l.withColumn("__on", F.struct(*on)), r.withColumn("__on", F.struct(*on)).drop(*on), ["__on", *keys]
     for a, b in names.items():
         r = r.withColumnRenamed(a, b)
     l, r, keys = _blocks(l, r, keys)
-    both = l.join(r, keys).filter(bbox_meets(("x1", "y1", "x2", "y2"), tuple(names.values())))
-    size = _level_size(cell)
-    once = (F.floor(F.greatest("x1", "__r_x1") / size) == F.col("__cx")) & (F.floor(F.greatest("y1", "__r_y1") / size) == F.col("__cy"))
-    return both.filter(once).drop(*keys, "x1", "y1", "x2", "y2", *names.values())
+    once = (F.greatest("__fx", names["__fx"]) == F.col("__cx")) & (F.greatest("__fy", names["__fy"]) == F.col("__cy"))
+    both = l.join(r, keys).filter(bbox_meets(("x1", "y1", "x2", "y2"), tuple(names.values())[:4]) & once)
+    return both.drop(*keys, *names, *names.values())
 
 
 def overlap_conflicts(boxes: DataFrame, threshold: float, cell: float) -> DataFrame:
@@ -228,14 +228,20 @@ def length_summary(layer: DataFrame, points: str, factor: float = 1.0) -> DataFr
     return layer.agg(F.coalesce(F.sum(F.when(ok, line_length(F.col(points), factor))), F.lit(0.0)).alias("total"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("skipped"))
 
 
-def segments_meet(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
-    """Whether two closed segments (x1, y1, x2, y2) have a point in common, ends and overlaps included."""
+def segment_sides(a: tuple[Column, ...], b: tuple[Column, ...]) -> list[Column]:
+    """On which side (-1, 0, 1) of segment a (x1, y1, x2, y2) the ends of b lie, and of b those of a."""
 
     def side(p, q, x, y):
         return F.signum((q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0]))
 
     a1, a2, b1, b2 = (a[0], a[1]), (a[2], a[3]), (b[0], b[1]), (b[2], b[3])
-    s1, s2, s3, s4 = side(a1, a2, *b1), side(a1, a2, *b2), side(b1, b2, *a1), side(b1, b2, *a2)
+    return [side(a1, a2, *b1), side(a1, a2, *b2), side(b1, b2, *a1), side(b1, b2, *a2)]
+
+
+def segments_meet(a: tuple[Column, ...], b: tuple[Column, ...], sides: list[Column] | None = None) -> Column:
+    """Whether two closed segments (x1, y1, x2, y2) have a point in common, ends and overlaps included; ``sides``: theirs, if known."""
+    a1, a2, b1, b2 = (a[0], a[1]), (a[2], a[3]), (b[0], b[1]), (b[2], b[3])
+    s1, s2, s3, s4 = sides or segment_sides(a, b)
 
     def within(p, q, x, y):
         return x.between(F.least(p[0], q[0]), F.greatest(p[0], q[0])) & y.between(F.least(p[1], q[1]), F.greatest(p[1], q[1]))
@@ -253,9 +259,13 @@ def line_pairs(lines: DataFrame, cell: float) -> DataFrame:
     box = [F.least("sx", "ex").alias("x1"), F.least("sy", "ey").alias("y1"), F.greatest("sx", "ex").alias("x2"), F.greatest("sy", "ey").alias("y2")]
     ends = ("sx", "sy", "ex", "ey")
     left = seg.select(F.col("fid").alias("a"), "grid_code", *[F.col(c).alias(f"a_{c}") for c in ends], *box)
-    right = seg.select(F.col("fid").alias("b"), F.col("grid_code").alias("code"), *[F.col(c).alias(f"b_{c}") for c in ends], *box)
-    met = bbox_join(left, right, cell).filter("grid_code <=> code and a < b")
-    return met.filter(segments_meet(tuple(F.col(f"a_{c}") for c in ends), tuple(F.col(f"b_{c}") for c in ends))).select("a", "b").distinct()
+    right = seg.select(F.col("fid").alias("b"), "grid_code", *[F.col(c).alias(f"b_{c}") for c in ends], *box)
+    met = bbox_join(left, right, cell, on=("grid_code",)).filter("a < b")
+    one, two = (tuple(F.col(f"{k}_{c}") for c in ends) for k in "ab")
+    # The sides are columns of their own, held by one that is not deterministic: in the join's condition
+    # each would be spelled out wherever it is read, in a method too long for the JIT compiler.
+    met = met.select("a", "b", *[F.col(c) for c in met.columns if c[:2] in ("a_", "b_")], *[c.alias(f"__s{k}") for k, c in enumerate(segment_sides(one, two))], F.monotonically_increasing_id().alias("__held"))
+    return met.filter((F.col("__held") >= 0) & segments_meet(one, two, [F.col(f"__s{k}") for k in range(4)])).select("a", "b").distinct()
 
 
 def dissolve(lines: DataFrame, cell: float) -> DataFrame:

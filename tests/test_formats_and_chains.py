@@ -199,6 +199,54 @@ def test_many_boxes_far_apart_are_not_paired(spark):
     assert time.monotonic() - began < 60
 
 
+def lines_frame(spark, rows):
+    return spark.createDataFrame([(f, g, [[{"x": float(x), "y": float(y)} for x, y in p] for p in parts]) for f, g, parts in rows], "fid long, grid_code int, parts array<array<struct<x:double,y:double>>>")
+
+
+def lines_meet(p, q):
+    def side(a, b, c):
+        v = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        return (v > 0) - (v < 0)
+
+    def meet(a, b, c, d):
+        near = all(min(a[k], b[k]) <= max(c[k], d[k]) and min(c[k], d[k]) <= max(a[k], b[k]) for k in (0, 1))
+        return near and side(a, b, c) * side(a, b, d) <= 0 and side(c, d, a) * side(c, d, b) <= 0
+
+    return any(meet(*s, *t) for u in p for s in zip(u, u[1:]) for v in q for t in zip(v, v[1:]))
+
+
+def random_lines(seed, n, most=12):
+    rng = random.Random(seed)
+    out = []
+    for f in range(n):
+        x, y = rng.randrange(30), rng.randrange(30)
+        out.append((f, rng.choice([1, 2]), [[(x + rng.randrange(-most, most), y + rng.randrange(-most, most)) for _ in range(rng.choice([1, 2, 3]))] for _ in range(rng.choice([1, 2]))]))
+    return out
+
+
+@pytest.mark.parametrize("block", [2000, 4])
+def test_line_pairs_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(vector, "BLOCK", block, raising=False)
+    rows = random_lines(5, 60)
+    got = sorted(map(tuple, vector.line_pairs(lines_frame(spark, rows), 5.0).collect()))
+    assert got == sorted((p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and p[1] == q[1] and lines_meet(p[2], q[2]))
+
+
+def test_crowded_lines_are_judged_quickly(spark):
+    """4,000 parallel lines whose boxes all overlap, and one across them: its pairs only."""
+    began = time.monotonic()
+    k = F.col("id")
+
+    def point(x, y):
+        return F.struct(x.cast("double").alias("x"), F.lit(float(y)).alias("y"))
+
+    rows = spark.range(4000).select(k.alias("fid"), F.lit(1).alias("grid_code"), F.array(F.array(*[point(k / 1000 + y, y) for y in (0, 9, 18)])).alias("parts"))
+    across = lines_frame(spark, [(4000, 1, [[(-5.0, 4.5), (50.0, 4.0)]]), (4001, 2, [[(-5.0, 4.5), (50.0, 4.0)]])])
+    assert sorted(map(tuple, vector.line_pairs(rows.unionByName(across), 25.0).collect())) == [(f, 4000) for f in range(4000)]
+    assert time.monotonic() - began < 60
+
+
+
 def test_solid_render(spark):
     px = spark.createDataFrame([("r", y, x, 5.0 + x) for y in range(6) for x in range(6)], "raster_id string, y int, x int, v double")
     rows = raster.render(px, 1.0).collect()
