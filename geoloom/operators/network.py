@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.operators.components import connected_components
+from geoloom.operators.labels import global_rank
 from geoloom.session import free, stored
 
 
@@ -214,6 +218,53 @@ def independent_set(nodes: DataFrame, conflicts: DataFrame, most_pairs: int = 1_
     return out.withColumn("kept", F.col("base") == F.col("id")).drop("__base")
 
 
+def greedy_set(items: DataFrame, keys: list[str], conflicts: Callable[[DataFrame, DataFrame | None], DataFrame], most_pairs: int = 1_000_000) -> DataFrame:
+    """id, base, kept of items (id, rank, ..): the choice of ``independent_set``, without making all conflicts.
+
+    ``conflicts(some, others)`` gives the pairs (a, b) of ids that conflict: both of some if
+    others is None, else b of others. Conflicts are mostly between items of equal ``keys``,
+    which only foresee how many there are. If there are many, the first items in order are
+    decided by themselves, then those that their kept ones absorb, and so on with what is
+    left: the outcome of one pass in order. Ranks that are null or NaN come last.
+    """
+
+    def foreseen(df: DataFrame, cuts: list) -> list[int]:
+        """Rows, and pairs of equal keys up to each rank (None: of all)."""
+        n = [F.count(F.lit(1) if c is None else F.when(F.col("rank") <= c, 1)).alias(f"n{k}") for k, c in enumerate(cuts)]
+        out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *n).agg(F.sum("n"), *[F.sum(F.col(f"n{k}").cast("decimal(38,0)") * F.col(f"n{k}") / 2) for k in range(len(cuts))]).first()
+        return [int(x or 0) for x in out]
+
+    def most(n: int) -> int:
+        return max(4 * most_pairs, 16 * n)
+
+    n, pairs = foreseen(items, [None])
+    if pairs <= most(n):
+        return independent_set(items.select("id", "rank"), conflicts(items, None)).select("id", "base", "kept")
+    late = F.col("rank").isNull() | F.isnan(F.col("rank").cast("double"))
+    left = global_rank(items.withColumn("__late", late), ["__late", "rank", "id"]).drop("__late")  # rank is 1 to n from here
+    left, decided = stored(left, "left"), []
+    while n:
+        cut = None
+        if pairs > most(n):
+            shares = [0.5**k for k in range(1, max(2, (n // 1000).bit_length()))]
+            cuts = left.agg(F.percentile_approx("rank", shares, 10_000)).first()[0]
+            found = foreseen(left, cuts)[1:]
+            cut = next((c for c, p in zip(cuts, found) if p <= most(n)), cuts[-1])
+        some = left if cut is None else left.filter(F.col("rank") <= cut)
+        base = stored(independent_set(some.select("id", "rank"), conflicts(some, None)).select("id", "base"), "decided")
+        decided.append(base)
+        if cut is None:
+            break
+        kept, rest = some.join(base.filter("base = id").select("id"), "id", "left_semi"), left.filter(F.col("rank") > cut)
+        met = conflicts(kept, rest).join(kept.select(F.col("id").alias("a"), "rank"), "a")
+        taken = stored(met.groupBy("b").agg(F.min_by("a", "rank").alias("base")).select(F.col("b").alias("id"), "base"), "decided")
+        decided.append(taken)
+        left, before = stored(rest.join(taken.select("id"), "id", "left_anti"), "left"), left
+        free(before)
+        n, pairs = foreseen(left, [None])
+    return functools.reduce(DataFrame.union, decided).withColumn("kept", F.col("base") == F.col("id"))
+
+
 def _kept_in_rounds(near: DataFrame) -> DataFrame:
     """id, base of the nodes of conflicts (a, ra, b, rb, both ways), round by round."""
     near = stored(near, "near")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions.grid import bbox_meets
-from geoloom.operators.network import independent_set
+from geoloom.operators.network import greedy_set, independent_set
 from geoloom.session import free, stored
 
 # Names of diagnostic fields of earlier passes, matched without case.
@@ -164,23 +164,42 @@ def bbox_join(left: DataFrame, right: DataFrame, cell: float, on: tuple[str, ...
     return both.drop(*keys, *names, *names.values())
 
 
-def overlap_conflicts(boxes: DataFrame, threshold: float, cell: float) -> DataFrame:
-    """a, b: boxes (det, cls, x1..y2) of one class whose intersection over union is above the threshold."""
-    other = boxes.select(F.col("det").alias("b"), F.col("cls").alias("bcls"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"), F.col("x2").alias("bx2"), F.col("y2").alias("by2"), "x1", "y1", "x2", "y2")
-    mine = boxes.select("det", "cls", F.col("x1").alias("ax1"), F.col("y1").alias("ay1"), F.col("x2").alias("ax2"), F.col("y2").alias("ay2"), "x1", "y1", "x2", "y2")
-    pairs = bbox_join(mine, other, cell).filter("cls = bcls and det < b")
+def _held(pairs: DataFrame, columns: list[str], more: dict[str, Column]) -> DataFrame:
+    """Columns of joined pairs, with others computed once for filters on them that read __held too.
+
+    __held is not deterministic, so that such filters stay behind the join: in its condition each
+    column would be spelled out wherever it is read, in a method too long for the JIT compiler.
+    """
+    return pairs.select(*columns, *[c.alias(k) for k, c in more.items()], F.monotonically_increasing_id().alias("__held"))
+
+
+def overlap_conflicts(boxes: DataFrame, threshold: float, cell: float, others: DataFrame | None = None) -> DataFrame:
+    """a, b: boxes (det, cls, x1..y2) of one class whose intersection over union is above the threshold; b of ``others``, if given."""
+    ends = ("x1", "y1", "x2", "y2")
+    mine, other = (
+        df.filter("cls is not null").select(F.col("det").alias(k), "cls", *[F.col(c).alias(k + c) for c in ends], *ends) for k, df in (("a", boxes), ("b", boxes if others is None else others))
+    )
+    pairs = bbox_join(mine, other, cell, on=("cls",))
+    if others is None:
+        pairs = pairs.filter("a < b")
     w = F.greatest(F.lit(0.0), F.least("ax2", "bx2") - F.greatest("ax1", "bx1"))
     h = F.greatest(F.lit(0.0), F.least("ay2", "by2") - F.greatest("ay1", "by1"))
     areas = (F.col("ax2") - F.col("ax1")) * (F.col("ay2") - F.col("ay1")) + (F.col("bx2") - F.col("bx1")) * (F.col("by2") - F.col("by1"))
-    return pairs.filter(w * h > threshold * (areas - w * h)).select(F.col("det").alias("a"), "b")
+    both = _held(pairs, ["a", "b"], {"__w": w, "__h": h, "__areas": areas})
+    return both.filter((F.col("__held") >= 0) & (F.col("__w") * F.col("__h") > threshold * (F.col("__areas") - F.col("__w") * F.col("__h")))).select("a", "b")
+
 
+def _home(cell: float) -> list[Column]:
+    """Level and cell of a box's (x1 to y2) lower corner: by them the number of pairs is foreseen."""
+    size = cell * F.pow(F.lit(float(LEVEL_STEP)), _own_level(cell))
+    return [_own_level(cell).alias("__level"), F.floor(F.col("x1") / size).alias("__cx"), F.floor(F.col("y1") / size).alias("__cy")]
 
-def nms(boxes: DataFrame, threshold: float = 0.5, cell: float = 64.0) -> DataFrame:
+
+def nms(boxes: DataFrame, threshold: float = 0.5, cell: float = 64.0, most_pairs: int = 1_000_000) -> DataFrame:
     """Class-aware greedy suppression: best confidence first (ties: smallest det); kept boxes."""
-    pairs = overlap_conflicts(boxes, threshold, cell)
-    nodes = boxes.select(F.col("det").alias("id"), (-F.col("conf")).alias("rank"))
-    kept = independent_set(nodes, pairs).filter("kept").select(F.col("id").alias("det"))
-    return boxes.join(kept, "det", "left_semi")
+    items = boxes.select(F.col("det").alias("id"), (-F.col("conf")).alias("rank"), "det", "cls", "x1", "y1", "x2", "y2", *_home(cell))
+    base = greedy_set(items, ["cls", "__level", "__cx", "__cy"], lambda some, others: overlap_conflicts(some, threshold, cell, others), most_pairs)
+    return boxes.join(base.filter("kept").select(F.col("id").alias("det")), "det", "left_semi")
 
 
 def ept_bounds(json: Column) -> Column:
@@ -251,20 +270,23 @@ def segments_meet(a: tuple[Column, ...], b: tuple[Column, ...], sides: list[Colu
     return crossing | touching
 
 
-def line_pairs(lines: DataFrame, cell: float) -> DataFrame:
-    """a, b: lines (fid, grid_code, parts of points) of one code that intersect; segments meet in grid cells."""
+def _segments(lines: DataFrame, key: str) -> DataFrame:
+    """Each segment of lines (fid, grid_code, parts of points) with its box; the other columns begin with the key."""
     part = lines.select("fid", "grid_code", F.explode("parts").alias("p"))
     steps = F.arrays_zip(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))).alias("s"), F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))).alias("e"))
     seg = part.select("fid", "grid_code", F.explode(steps).alias("z")).select("fid", "grid_code", F.col("z.s.x").alias("sx"), F.col("z.s.y").alias("sy"), F.col("z.e.x").alias("ex"), F.col("z.e.y").alias("ey"))
     box = [F.least("sx", "ex").alias("x1"), F.least("sy", "ey").alias("y1"), F.greatest("sx", "ex").alias("x2"), F.greatest("sy", "ey").alias("y2")]
+    return seg.select(F.col("fid").alias(key), "grid_code", *[F.col(c).alias(f"{key}_{c}") for c in ("sx", "sy", "ex", "ey")], *box)
+
+
+def line_pairs(lines: DataFrame, cell: float, others: DataFrame | None = None) -> DataFrame:
+    """a, b: lines (fid, grid_code, parts of points) of one code that intersect; segments meet in grid cells; b of ``others``, if given."""
     ends = ("sx", "sy", "ex", "ey")
-    left = seg.select(F.col("fid").alias("a"), "grid_code", *[F.col(c).alias(f"a_{c}") for c in ends], *box)
-    right = seg.select(F.col("fid").alias("b"), "grid_code", *[F.col(c).alias(f"b_{c}") for c in ends], *box)
-    met = bbox_join(left, right, cell, on=("grid_code",)).filter("a < b")
+    met = bbox_join(_segments(lines, "a"), _segments(lines if others is None else others, "b"), cell, on=("grid_code",))
+    if others is None:
+        met = met.filter("a < b")
     one, two = (tuple(F.col(f"{k}_{c}") for c in ends) for k in "ab")
-    # The sides are columns of their own, held by one that is not deterministic: in the join's condition
-    # each would be spelled out wherever it is read, in a method too long for the JIT compiler.
-    met = met.select("a", "b", *[F.col(c) for c in met.columns if c[:2] in ("a_", "b_")], *[c.alias(f"__s{k}") for k, c in enumerate(segment_sides(one, two))], F.monotonically_increasing_id().alias("__held"))
+    met = _held(met, ["a", "b", *[c for c in met.columns if c[:2] in ("a_", "b_")]], {f"__s{k}": c for k, c in enumerate(segment_sides(one, two))})
     return met.filter((F.col("__held") >= 0) & segments_meet(one, two, [F.col(f"__s{k}") for k in range(4)])).select("a", "b").distinct()
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import grid
-from geoloom.operators import files, labels, raster, vector, workflow
+from geoloom.operators import files, labels, network, raster, vector, workflow
 from geoloom.sources import logs, readers, shapefile, tiff
 
 
@@ -246,6 +246,34 @@ def test_crowded_lines_are_judged_quickly(spark):
     assert time.monotonic() - began < 60
 
 
+def plain_choice(order, meets):
+    """id, base of one greedy pass."""
+    kept, base = [], {}
+    for i in order:
+        base[i] = next((k for k in kept if meets(i, k)), i)
+        if base[i] == i:
+            kept.append(i)
+    return base
+
+
+def test_choice_by_parts_equals_one_pass(spark, monkeypatch):
+    """Few pairs at once: boxes and lines are decided part by part, with the outcome of one pass; few conflicts are made."""
+    rng = random.Random(11)
+    boxes = [(i, rng.choice([1, 2]), rng.choice([0.1, 0.5, 0.9, None]), x := rng.randrange(60), y := rng.randrange(60), x + rng.randrange(20, 40), y + 30) for i in range(400)]
+    df = spark.createDataFrame([(i, c, s, *map(float, r)) for i, c, s, *r in boxes], "det long, cls int, conf double, x1 double, y1 double, x2 double, y2 double")
+
+    def overlap(i, k):
+        (_, c, _, *a), (_, d, _, *b) = boxes[i], boxes[k]
+        w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        return c == d and w * h > 0.5 * ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
+
+    calls = []
+    real = network.independent_set
+    monkeypatch.setattr(network, "independent_set", lambda nodes, *a: calls.append(nodes.count()) or real(nodes, *a))
+    base = plain_choice([b[0] for b in sorted(boxes, key=lambda b: (b[2] is None, -(b[2] or 0), b[0]))], overlap)
+    assert sorted(r.det for r in vector.nms(df, 0.5, 64.0, most_pairs=1).collect()) == sorted(i for i, k in base.items() if i == k)
+    assert len(calls) > 1 and sum(calls) < len(boxes) * 0.9
+
 
 def test_solid_render(spark):
     px = spark.createDataFrame([("r", y, x, 5.0 + x) for y in range(6) for x in range(6)], "raster_id string, y int, x int, v double")
