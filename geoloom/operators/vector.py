@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions.grid import bbox_meets
-from geoloom.operators.network import greedy_set, independent_set
+from geoloom.operators.network import greedy_set
 from geoloom.session import free, stored
 
 # Names of diagnostic fields of earlier passes, matched without case.
@@ -290,14 +290,17 @@ def line_pairs(lines: DataFrame, cell: float, others: DataFrame | None = None) -
     return met.filter((F.col("__held") >= 0) & segments_meet(one, two, [F.col(f"__s{k}") for k in range(4)])).select("a", "b").distinct()
 
 
-def dissolve(lines: DataFrame, cell: float) -> DataFrame:
+def dissolve(lines: DataFrame, cell: float, most_pairs: int = 1_000_000) -> DataFrame:
     """Greedy dissolve of lines (fid, grid_code, parts, ..): the lowest fid absorbs what intersects it itself, then the next that is left.
 
     Out: the attributes of each base, its members' number, and their parts together.
     Two members' parts are not cut where they cross.
     """
-    nodes = lines.select(F.col("fid").alias("id"), F.col("fid").alias("rank"))
-    base = independent_set(nodes, line_pairs(lines, cell)).select(F.col("id").alias("fid"), "base")
+    points = F.flatten("parts")
+    ends = [f(F.transform(points, lambda p: p[c])).alias(f"{c}{k}") for k, f in ((1, F.array_min), (2, F.array_max)) for c in ("x", "y")]
+    items = lines.select(F.col("fid").alias("id"), F.col("fid").alias("rank"), "fid", "grid_code", "parts", *ends)
+    items = items.select("id", "rank", "fid", "grid_code", "parts", *_home(cell))
+    base = greedy_set(items, ["grid_code", "__level", "__cx", "__cy"], lambda some, others: line_pairs(some, cell, others), most_pairs).select(F.col("id").alias("fid"), "base")
     both = lines.join(base, "fid").groupBy("base").agg(F.count(F.lit(1)).alias("members"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("fid", "parts"))), lambda s: s["parts"])).alias("parts"))
     return lines.drop("parts").join(both.withColumnRenamed("base", "fid"), "fid")
 

@@ -274,6 +274,13 @@ def test_choice_by_parts_equals_one_pass(spark, monkeypatch):
     assert sorted(r.det for r in vector.nms(df, 0.5, 64.0, most_pairs=1).collect()) == sorted(i for i, k in base.items() if i == k)
     assert len(calls) > 1 and sum(calls) < len(boxes) * 0.9
 
+    calls.clear()
+    lines = random_lines(7, 300)
+    base = plain_choice(range(300), lambda i, k: lines[i][1] == lines[k][1] and lines_meet(lines[i][2], lines[k][2]))
+    got = {r.fid: (r.members, [[(p.x, p.y) for p in part] for part in r.parts]) for r in vector.dissolve(lines_frame(spark, lines), 25.0, most_pairs=1).collect()}
+    assert got == {k: (len(m), [p for i in m for p in lines[i][2]]) for k in set(base.values()) for m in [[i for i in base if base[i] == k]]}
+    assert len(calls) > 1
+
 
 def test_solid_render(spark):
     px = spark.createDataFrame([("r", y, x, 5.0 + x) for y in range(6) for x in range(6)], "raster_id string, y int, x int, v double")
